@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import pqueries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**pqueries.QUERIES}
+SQL: dict[str, str] = {**pqueries.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
