@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.instants import instant
 from ..session import table
-from . import clusters, percentiles, topn, vectors
+from . import clusters, leaks, mixing, percentiles, topn, vectors
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,30 @@ def p7_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.typical_members(table(spark, sf_dir, "signatures"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p2_found, p2_search, p3_percentiles, p3_months, p3_combined, p7_found, p7_typical)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaked passage with its place in the document's text."""
+    return leaks.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.short_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets, budgets and the shares that the mix reaches."""
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p2_found, p2_search, p3_percentiles, p3_months, p3_combined, p7_found, p7_typical, p8_found, p8_passages, p9_found, p9_mix, p9_shares)}
 
 _TOP = """
 select cast(slot_28 as bigint) as phylum, sig_id{more} from (
