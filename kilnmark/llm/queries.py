@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.instants import instant
 from ..session import table
-from . import clusters, leaks, mixing, percentiles, topn, vectors
+from . import clusters, leaks, mixing, percentiles, residue, topn, vectors
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,16 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p2_found, p2_search, p3_percentiles, p3_months, p3_combined, p7_found, p7_typical, p8_found, p8_passages, p9_found, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p10_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to exclude with their number of residue cells."""
+    return residue.residue(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranked, p2_found, p2_search, p3_percentiles, p3_months, p3_combined, p7_found, p7_typical, p8_found, p8_passages, p9_found, p9_mix, p9_shares, p10_found, p10_cells)}
 
 _TOP = """
 select cast(slot_28 as bigint) as phylum, sig_id{more} from (
