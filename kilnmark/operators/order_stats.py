@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 STEPS = 512  # buckets per e-fold of magnitude
+BROADCAST_ROWS = 100_000  # wanted buckets that may be sent to all tasks, some 50 bytes each
 TINY = 1e-12  # magnitudes below this share the buckets next to zero
 
 
@@ -35,6 +38,10 @@ def exact_medians(df: DataFrame, group: str, values: dict[str, Column]) -> DataF
     first = F.col("upto") - F.col("count")
     holds = lambda p: (F.col(p) >= first) & (F.col(p) < F.col("upto"))
     wanted = counts.filter(holds("lo") | holds("hi")).select(F.col("g").alias("wg"), F.col("q").alias("wq"), F.col("b").alias("wb"), first.alias("first"), "lo", "hi")
+    # A few rows a group: sent to all tasks if they are few, else the values meet them in a shuffle.
+    wanted = cut(wanted)
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     inside = long.join(wanted, F.col("g").eqNullSafe(F.col("wg")) & (F.col("q") == F.col("wq")) & (F.col("b") == F.col("wb")))
     inside = inside.groupBy("g", "q", "b", "x", "first", "lo", "hi").count()
     w = Window.partitionBy("g", "q", "b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
