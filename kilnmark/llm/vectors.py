@@ -165,7 +165,9 @@ def neighbours(df: DataFrame, id: str, cols: list[str], k: int, probes: int, que
     vs = [f"_v{i}" for i in range(len(cols))]
     kinds = cut(rows.groupBy(*vs).agg(F.min("_id").alias("rep"), F.count("*").alias("copies"), F.max("_q").alias("_q")))
     n = kinds.count()
-    sample = kinds.select(*vs).orderBy(F.xxhash64(*vs)).limit(SAMPLE).toPandas().to_numpy(np.float32)
+    # About SAMPLE vectors reach the driver whatever n is: those with the smallest hashes.
+    drawn = kinds.select(*vs).filter(F.pmod(F.xxhash64(*vs), F.lit(max(n, 1))) < SAMPLE)
+    sample = drawn.toPandas().sort_values(vs).to_numpy(np.float32)
     router = learn(sample, n) if n else None
     if router is None:
         return spark.createDataFrame([], "id_a long, id_b long, distance double")
