@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .order_stats import exact_medians
 from .ordered import Ordered
 
-SAMPLE = 1_024  # readings of a source from which its forest is grown
+SAMPLE = 1_000  # readings of a source from which its forest is grown; Spark prunes ranks up to 1,000 before the shuffle
 TREES, LEAVES = 32, 128  # trees of a forest, readings of the sample in each
 FEATURES = ("level", "volume_level", "difference", "seasonal", "run")
 
