@@ -1,9 +1,9 @@
-"""Exact medians of hot groups in two rounds of counting.
+"""Exact quantiles of hot groups in two rounds of counting.
 
 Round one counts values by (group, bucket), a bucket being a monotone step function of the value that is some 0.2 %
 wide; counts combine before the shuffle, so a group with a third of all rows costs no task more than its buckets.
 Round two looks only at the buckets that hold the wanted positions, counts their distinct values and picks the exact
-order statistics.
+order statistics. Nothing holds all values of a group, as the built-in exact percentile does.
 """
 
 from __future__ import annotations
@@ -23,30 +23,37 @@ def bucket(x: Column) -> Column:
     return (F.signum(x) * F.floor(STEPS * F.log1p(F.abs(x) / TINY))).cast("long")
 
 
-def exact_medians(df: DataFrame, group: str, values: dict[str, Column]) -> DataFrame:
-    """One row per value of `group`, one double column per entry of `values`: the exact median of the finite,
-    non-null values, the mean of the two middle ones for an even count, null without any.
+def exact_quantiles(df: DataFrame, group: str | None, values: dict[str, Column], at: list[float]) -> DataFrame:
+    """grp, q, p, n, x: per group, entry of `values` and p of `at` the linearly interpolated quantile x.
 
-    Groups without any value at all don't come out. A null group is a group like any other."""
+    Only finite, non-null values count (n of them); groups without any don't come out. A null group is a group like any
+    other; without `group` all rows are one (grp is null). grp has the type of the group column."""
+    g = F.lit(None).cast("string") if group is None else F.col(group)
     q = F.explode(F.array(*[F.struct(F.lit(k).alias("q"), v.cast("double").alias("x")) for k, v in values.items()]))
-    long = df.select(F.col(group).alias("g"), q.alias("v")).select("g", "v.q", "v.x")
+    long = df.select(g.alias("g"), q.alias("v")).select("g", "v.q", "v.x")
     long = long.filter(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") != float("inf"))).withColumn("b", bucket(F.col("x")))
     counts = long.groupBy("g", "q", "b").count()
     up = Window.partitionBy("g", "q").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumn("upto", F.sum("count").over(up)).withColumn("n", F.sum("count").over(Window.partitionBy("g", "q")))
-    counts = counts.withColumn("lo", F.expr("(n - 1) div 2")).withColumn("hi", F.expr("n div 2"))
-    first = F.col("upto") - F.col("count")
-    holds = lambda p: (F.col(p) >= first) & (F.col(p) < F.col("upto"))
-    wanted = counts.filter(holds("lo") | holds("hi")).select(F.col("g").alias("wg"), F.col("q").alias("wq"), F.col("b").alias("wb"), first.alias("first"), "lo", "hi")
+    tries = counts.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in at]))).withColumn("pos", F.col("p") * (F.col("n") - 1))
+    tries = tries.withColumn("lo", F.floor(F.col("pos") + 1e-9).cast("long")).withColumn("first", F.col("upto") - F.col("count"))
+    tries = tries.withColumn("hi", F.least(F.col("lo") + 1, F.col("n") - 1)).withColumn("frac", F.greatest(F.col("pos") - F.col("lo"), F.lit(0.0)))
+    holds = lambda p: (F.col(p) >= F.col("first")) & (F.col(p) < F.col("upto"))
     # A few rows a group: sent to all tasks if they are few, else the values meet them in a shuffle.
-    wanted = cut(wanted)
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    inside = long.join(wanted, F.col("g").eqNullSafe(F.col("wg")) & (F.col("q") == F.col("wq")) & (F.col("b") == F.col("wb")))
-    inside = inside.groupBy("g", "q", "b", "x", "first", "lo", "hi").count()
+    wanted = cut(tries.filter(holds("lo") | holds("hi")).select(F.col("g").alias("wg"), F.col("q").alias("wq"), F.col("b").alias("wb"), "first", "p", "lo", "hi", "frac", "n"))
+    small = wanted.count() <= BROADCAST_ROWS
+    buckets = wanted.select("wg", "wq", "wb", "first").distinct()
+    inside = long.join(F.broadcast(buckets) if small else buckets, F.col("g").eqNullSafe(F.col("wg")) & (F.col("q") == F.col("wq")) & (F.col("b") == F.col("wb")))
+    inside = inside.groupBy("g", "q", "b", "x", "first").count()
     w = Window.partitionBy("g", "q", "b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("end", F.col("first") + F.sum("count").over(w)).withColumn("start", F.col("end") - F.col("count"))
+    inside = inside.withColumn("end", F.col("first") + F.sum("count").over(w)).withColumn("start", F.col("end") - F.col("count")).drop("first")
+    both = inside.join(wanted.drop("first"), F.col("g").eqNullSafe(F.col("wg")) & (F.col("q") == F.col("wq")) & (F.col("b") == F.col("wb")))
     has = lambda p: (F.col(p) >= F.col("start")) & (F.col(p) < F.col("end"))
-    got = inside.groupBy("g", "q").agg(F.max(F.when(has("lo"), F.col("x"))).alias("lo"), F.max(F.when(has("hi"), F.col("x"))).alias("hi"))
-    mid = (F.col("lo") + F.col("hi")) / 2
-    return got.groupBy(F.col("g").alias(group)).agg(*[F.max(F.when(F.col("q") == k, mid)).alias(k) for k in values])
+    part = F.when(has("lo"), F.col("x") * (1 - F.col("frac"))).otherwise(0.0) + F.when(has("hi") & (F.col("frac") > 0), F.col("x") * F.col("frac")).otherwise(0.0)
+    return both.filter(has("lo") | (has("hi") & (F.col("frac") > 0))).groupBy(F.col("g").alias("grp"), "q", "p", "n").agg(F.sum(part).alias("x"))
+
+
+def exact_medians(df: DataFrame, group: str, values: dict[str, Column]) -> DataFrame:
+    """One row per value of `group`, one double column per entry of `values`: its exact median, null without values."""
+    got = exact_quantiles(df, group, values, [0.5])
+    return got.groupBy(F.col("grp").alias(group)).agg(*[F.max(F.when(F.col("q") == k, F.col("x"))).alias(k) for k in values])

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pqueries
+from . import pqueries, series
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**pqueries.QUERIES}
-SQL: dict[str, str] = {**pqueries.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**pqueries.QUERIES, **series.q.queries}
+SQL: dict[str, str] = {**pqueries.SQL, **series.q.sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
