@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, evaluation, pqueries, series
+from . import archive, evaluation, pqueries, series, storage
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**pqueries.QUERIES, **series.q.queries, **archive.q.queries, **evaluation.q.queries}
-SQL: dict[str, str] = {**pqueries.SQL, **series.q.sql, **archive.q.sql, **evaluation.q.sql}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**pqueries.QUERIES, **series.q.queries, **archive.q.queries, **evaluation.q.queries, **storage.q.queries}
+SQL: dict[str, str] = {**pqueries.SQL, **series.q.sql, **archive.q.sql, **evaluation.q.sql, **storage.q.sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
