@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, evaluation, pqueries, series, storage
+from . import archive, evaluation, events, pqueries, series, storage
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**pqueries.QUERIES, **series.q.queries, **archive.q.queries, **evaluation.q.queries, **storage.q.queries}
-SQL: dict[str, str] = {**pqueries.SQL, **series.q.sql, **archive.q.sql, **evaluation.q.sql, **storage.q.sql}
+PARTS = (events.q, series.q, archive.q, evaluation.q, storage.q)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**pqueries.QUERIES, **{k: f for p in PARTS for k, f in p.queries.items()}}
+SQL: dict[str, str] = {**pqueries.SQL, **{k: s for p in PARTS for k, s in p.sql.items()}}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return events.flagship(spark, sf_dir)
