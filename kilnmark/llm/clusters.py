@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graphs import components
 from ..session import cut
 from .topn import finite, top_n
 
@@ -214,22 +215,6 @@ def markov(links: DataFrame, inflation: float = 1.6, least: float = 1e-3, rounds
     return m
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, root: the smallest node of each connected component of links (a, b); only nodes that have a link.
-
-    Rounds of taking the smallest label around and following it once more; every round writes to the shared folder."""
-    both = cut(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-    while True:
-        seen = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = label.join(seen, "node").select("node", "root", F.least("root", "near").alias("new"))
-        jump = label.select(F.col("node").alias("new"), F.col("root").alias("far"))
-        nxt = cut(step.join(jump, "new").select("node", F.least("new", "far").alias("root"), (F.least("new", "far") < F.col("root")).alias("moved")))
-        label = nxt.select("node", "root")
-        if nxt.filter("moved").isEmpty():
-            return label
-
-
 def clusters(df: DataFrame, id: str, cols: list[str], radius: float, least_rows: int, exact: bool = True) -> tuple[DataFrame, DataFrame]:
     """Members (cluster_id, id, flow) of all clusters with at least `least_rows` rows, and clusters (cluster_id, size).
 

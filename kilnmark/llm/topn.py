@@ -16,8 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RANK = "_rank"
-
 
 def _changes(col: pa.Array) -> np.ndarray:
     """Whether row i > 0 differs from row i - 1, nulls and NaNs being alike among themselves."""
@@ -30,8 +28,9 @@ def _changes(col: pa.Array) -> np.ndarray:
     return ~(same | (na & nb))
 
 
-def first_rows(keys: list[str], n: int, rank: bool):
-    """A mapInArrow function that keeps the first n rows of each run of equal keys; state: the last key, a counter."""
+def first_rows(keys: list[str], n: int, rank: str | None):
+    """A mapInArrow function that keeps the first n rows of each run of equal keys, with their rank from 1 in a column
+    of that name; state: the last key, a counter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: list[pa.Array] | None = None
@@ -53,7 +52,7 @@ def first_rows(keys: list[str], n: int, rank: bool):
             keep = pa.array(r < n)
             out = b.filter(keep)
             if rank:
-                out = out.append_column(RANK, pa.array(r[r < n] + 1, pa.int32()))
+                out = out.append_column(rank, pa.array(r[r < n] + 1, pa.int32()))
             if out.num_rows:
                 yield out
 
@@ -65,14 +64,15 @@ def top_n(df: DataFrame, groups: list[str], order: list[Column], n: int, rank: s
 
     groups: columns; null is a group of its own, as is NaN. order: sort expressions ending in a unique one, by which
     ties are always broken the same way (rows equal in all of them come in any order). Groups with fewer than n rows
-    come out whole, an empty df as an empty one. A column of df must not be called _rank."""
+    come out whole, an empty df as an empty one. A column of df that is called as `rank` is, is replaced."""
     fits = [*[F.col(g).asc_nulls_first() for g in groups], *order]
-    near = df.sortWithinPartitions(*fits).mapInArrow(first_rows(groups, n, False), df.schema)
+    if rank and rank in df.columns:
+        df = df.drop(rank)
+    near = df.sortWithinPartitions(*fits).mapInArrow(first_rows(groups, n, None), df.schema)
     last = near.repartition(*groups).sortWithinPartitions(*fits)
     if not rank:
-        return last.mapInArrow(first_rows(groups, n, False), df.schema)
-    out = last.mapInArrow(first_rows(groups, n, True), T.StructType([*df.schema.fields, T.StructField(RANK, T.IntegerType())]))
-    return out.withColumnRenamed(RANK, rank)
+        return last.mapInArrow(first_rows(groups, n, None), df.schema)
+    return last.mapInArrow(first_rows(groups, n, rank), T.StructType([*df.schema.fields, T.StructField(rank, T.IntegerType())]))
 
 
 def finite(c: str) -> Column:
