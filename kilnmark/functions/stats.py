@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -41,6 +42,6 @@ def t_of_r(r: Column, n: Column) -> Column:
     return F.when((n > 2) & (F.abs(r) < 1), r * F.sqrt((n - 2) / (1 - r * r)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_values(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_p_value(a, b) for a, b in zip(t.astype(float), df.astype(float), strict=True)])

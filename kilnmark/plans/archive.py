@@ -15,8 +15,12 @@ from .common import Registry, bars, no_minus_zero, r6, sigs, sql, us
 from .series import _US, unique_sigs
 
 q = Registry()
-PHYLUM = F.col("phylum").cast("long")
-GAIN = F.col("mfe") - F.col("mae")
+def phylum() -> Column:
+    return F.col("phylum").cast("long")
+
+
+def gain() -> Column:
+    return F.col("mfe") - F.col("mae")
 
 
 def one_row_quantiles(df: DataFrame, c: str, ps: dict[str, float]) -> DataFrame:
@@ -129,7 +133,7 @@ def pred18(spark, sf_dir):
 
 @q("a01_phylum_edge", sql("select cast(phylum as bigint) as phylum, count(*) as n, round(avg(rf), 4) as mean, min(rf) as least, max(rf) as most from sigs where phylum is not null group by phylum having avg(rf) >= 8.0"))
 def a01(spark, sf_dir):
-    g = sigs(spark, sf_dir).filter("phylum is not null").groupBy(PHYLUM.alias("phylum"))
+    g = sigs(spark, sf_dir).filter("phylum is not null").groupBy(phylum().alias("phylum"))
     got = g.agg(F.count("*").alias("n"), F.avg("rf").alias("mean"), F.min("rf").alias("least"), F.max("rf").alias("most"))
     return got.filter("mean >= 8.0").withColumn("mean", r6("mean", 4))
 
@@ -156,7 +160,7 @@ def a03(spark, sf_dir):
 @q("a04_phylum_profile", sql("""select cast(phylum as bigint) as phylum, count(*) as n, round(avg(mfe), 6) as mean_mfe, round(avg(mae), 6) as mean_mae, round(quantile_cont(mfe, 0.5), 6) as median_mfe, round(quantile_cont(mae, 0.5), 6) as median_mae,
  max(mfe) as most_mfe, min(mae) as least_mae, round(avg(mfe) / nullif(avg(mae), 0), 4) as ratio from sigs where phylum is not null group by phylum"""))
 def a04(spark, sf_dir):
-    s = sigs(spark, sf_dir).filter("phylum is not null").withColumn("phylum", PHYLUM)
+    s = sigs(spark, sf_dir).filter("phylum is not null").withColumn("phylum", phylum())
     got = s.groupBy("phylum").agg(F.count("*").alias("n"), F.avg("mfe").alias("m"), F.avg("mae").alias("a"), F.max("mfe").alias("most_mfe"), F.min("mae").alias("least_mae"))
     mid = exact_quantiles(s, "phylum", {"mfe": F.col("mfe"), "mae": F.col("mae")}, [0.5]).groupBy(F.col("grp").alias("phylum")).agg(*[r6(F.max(F.when(F.col("q") == c, F.col("x")))).alias(f"median_{c}") for c in ("mfe", "mae")])
     got = got.join(mid, "phylum", "left")
@@ -165,7 +169,7 @@ def a04(spark, sf_dir):
 
 @q("a05_phylum_share", sql("select cast(phylum as bigint) as phylum, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 6) as share from sigs where phylum is not null group by phylum"))
 def a05(spark, sf_dir):
-    g = sigs(spark, sf_dir).filter("phylum is not null").groupBy(PHYLUM.alias("phylum")).agg(F.count("*").alias("n"))
+    g = sigs(spark, sf_dir).filter("phylum is not null").groupBy(phylum().alias("phylum")).agg(F.count("*").alias("n"))
     return g.join(g.agg(F.sum("n").alias("t")), F.lit(True)).select("phylum", "n", r6(100.0 * F.col("n") / F.col("t")).alias("share"))
 
 
@@ -174,7 +178,7 @@ _SEVEN = [f"slot_{i:02d}" for i in range(7)]
 
 @q("a06_phylum_slots", sql(f"select cast(phylum as bigint) as phylum, {', '.join(f'round(avg({s}), 6) as mean_{s}, round(stddev_samp({s}), 5) as dev_{s}' for s in _SEVEN)} from sigs where phylum is not null group by phylum"))
 def a06(spark, sf_dir):
-    g = sigs(spark, sf_dir).filter("phylum is not null").groupBy(PHYLUM.alias("phylum"))
+    g = sigs(spark, sf_dir).filter("phylum is not null").groupBy(phylum().alias("phylum"))
     return g.agg(*[x for s in _SEVEN for x in (r6(F.avg(s)).alias(f"mean_{s}"), r6(F.stddev_samp(s), 5).alias(f"dev_{s}"))])
 
 
@@ -232,7 +236,7 @@ def a13(spark, sf_dir):
 def a14(spark, sf_dir):
     """Gross profit over gross loss (999 without any loss), median recovery, count."""
     s = sigs(spark, sf_dir).filter("mfe is not null and mae is not null")
-    g = s.agg(F.coalesce(F.sum(F.greatest(GAIN, F.lit(0.0))), F.lit(0.0)).alias("p"), F.coalesce(F.sum(F.greatest(-GAIN, F.lit(0.0))), F.lit(0.0)).alias("l"), F.count("*").alias("n"))
+    g = s.agg(F.coalesce(F.sum(F.greatest(gain(), F.lit(0.0))), F.lit(0.0)).alias("p"), F.coalesce(F.sum(F.greatest(-gain(), F.lit(0.0))), F.lit(0.0)).alias("l"), F.count("*").alias("n"))
     g = g.join(one_row_quantiles(s, "rf", {"m": 0.5}), F.lit(True))
     return g.select(r6(F.when(F.col("l") > 0, F.col("p") / F.col("l")).when(F.col("p") > 0, 999.0).otherwise(0.0)).alias("gpf"), r6("m").alias("recovery"), "n")
 

@@ -11,7 +11,7 @@ from ..operators import windows as W
 from ..operators.blocks import along, core, positions, with_halo
 from ..operators.order_stats import exact_quantiles
 from ..session import cut
-from .archive import GAIN
+from .archive import gain
 from .common import Registry, bars, r6, sql, us
 from .series import _NEXT, _OUTCOME, _US, RET, _r, mean_ranks, unique_sigs
 from ..functions import slots as S
@@ -22,7 +22,7 @@ WINDOW, STEP, LEAST = 90, 30, 200  # days of training, days of test, training ro
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each signature once with its day (days since 1970) and result."""
-    return unique_sigs(spark, sf_dir).filter("mfe is not null and mae is not null").withColumn("day", F.datediff("ts", F.lit("1970-01-01").cast("date")).cast("long")).withColumn("ret", GAIN)
+    return unique_sigs(spark, sf_dir).filter("mfe is not null and mae is not null").withColumn("day", F.datediff("ts", F.lit("1970-01-01").cast("date")).cast("long")).withColumn("ret", gain())
 
 
 _T = "tr as (select *, date_diff('day', date '1970-01-01', cast(ts as date)) as day, mfe - mae as ret from us where mfe is not null and mae is not null)"
@@ -150,9 +150,9 @@ def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = F.col("score") >= F.col("edge")
     return va.join(edge, "variant").groupBy("shard", "variant").agg(
         F.count("*").alias("n"),
-        F.coalesce(F.sum(F.when(keep, F.greatest(GAIN, F.lit(0.0)))), F.lit(0.0)).alias("profit"),
-        F.coalesce(F.sum(F.when(keep, F.greatest(-GAIN, F.lit(0.0)))), F.lit(0.0)).alias("loss"),
-        F.avg(F.when(keep, GAIN)).alias("mean_gain"),
+        F.coalesce(F.sum(F.when(keep, F.greatest(gain(), F.lit(0.0)))), F.lit(0.0)).alias("profit"),
+        F.coalesce(F.sum(F.when(keep, F.greatest(-gain(), F.lit(0.0)))), F.lit(0.0)).alias("loss"),
+        F.avg(F.when(keep, gain())).alias("mean_gain"),
         (1 - F.avg(F.when(keep, 1.0).otherwise(0.0))).alias("discard"),
     )
 
