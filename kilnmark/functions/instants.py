@@ -16,12 +16,12 @@ def instant(text: Column) -> Column:
     t = F.trim(text)
     iso = F.when(t.rlike(r"(?i)(Z|UTC|[+-]\d\d:?\d\d|[+-]\d\d)$") & t.contains(":"), t).otherwise(F.concat(t, F.lit("Z")))
     iso = F.when(t.rlike(r"^\d{4}-\d\d-\d\d$"), F.concat(t, F.lit(" 00:00:00Z"))).otherwise(iso)
-    return F.when(t.rlike(r"^-?\d{9,16}$"), F.timestamp_millis(t.try_cast("long"))).otherwise(iso.try_cast("timestamp"))
+    return F.when(t.rlike(r"^-?\d{9,15}$"), F.timestamp_millis(t.try_cast("long"))).otherwise(iso.try_cast("timestamp"))
 
 
 def interval_seconds(interval: Column) -> Column:
     """Seconds of '5m', '1h', '1d'; null for anything else."""
-    n = F.regexp_extract(interval, r"^(\d+)([smhdw])$", 1)
-    unit = F.regexp_extract(interval, r"^(\d+)([smhdw])$", 2)
+    n = F.regexp_extract(interval, r"^(\d{1,6})([smhdw])$", 1)
+    unit = F.regexp_extract(interval, r"^(\d{1,6})([smhdw])$", 2)
     scale = F.create_map(*[F.lit(x) for kv in UNIT_SECONDS.items() for x in kv])
     return F.when(n != "", n.try_cast("long") * F.try_element_at(scale, unit))

@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import stored
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, root: the smallest node of each connected component of links (a, b); only nodes that have a link.
 
     Rounds of taking the smallest label around and following it once more; every round writes to the shared folder."""
-    both = cut(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    if links.isEmpty():
+        return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    # Tables rather than checkpoints, which would carry what the optimiser knows of their columns from round to round.
+    both = stored(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    label = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
     while True:
         seen = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = label.join(seen, "node").select("node", "root", F.least("root", "near").alias("new"))
         jump = label.select(F.col("node").alias("new"), F.col("root").alias("far"))
-        nxt = cut(step.join(jump, "new").select("node", F.least("new", "far").alias("root"), (F.least("new", "far") < F.col("root")).alias("moved")))
+        nxt = stored(step.join(jump, "new").select("node", F.least("new", "far").alias("root"), (F.least("new", "far") < F.col("root")).alias("moved")), "labels")
         label = nxt.select("node", "root")
         if nxt.filter("moved").isEmpty():
             return label

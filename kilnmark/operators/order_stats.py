@@ -8,6 +8,8 @@ order statistics. Nothing holds all values of a group, as the built-in exact per
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ TINY = 1e-12  # magnitudes below this share the buckets next to zero
 
 def bucket(x: Column) -> Column:
     """A long that never falls as the finite double x rises."""
-    return (F.signum(x) * F.floor(STEPS * F.log1p(F.abs(x) / TINY))).cast("long")
+    return (F.signum(x) * F.floor(STEPS * (F.ln(F.abs(x) + TINY) - math.log(TINY)))).cast("long")
 
 
 def exact_quantiles(df: DataFrame, group: str | None, values: dict[str, Column], at: list[float]) -> DataFrame:

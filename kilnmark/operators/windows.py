@@ -82,14 +82,23 @@ def log_return(c: Column, w: WindowSpec, k: int = 1) -> Column:
     return F.ln(c / F.lag(c, k).over(w) + EPS)
 
 
+def corr(x: Column, y: Column, frame: WindowSpec | None = None) -> Column:
+    """Pearson correlation of the pairs without nulls; null where either doesn't vary, which the built-in form takes
+    for a division by zero."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    over = lambda c: c if frame is None else c.over(frame)
+    d = over(F.stddev_pop(x)) * over(F.stddev_pop(y))
+    return F.when(d > 0, over(F.covar_pop(x, y)) / d)
+
+
 def autocorrelation(x: Column, lagged: Column, w: WindowSpec, n: int, k: int) -> Column:
     """Correlation of x with itself k rows before, over the n - k pairs in a window of n rows.
 
     lagged: a column that holds x of k rows before. Null without variance or with missing pairs."""
     f = w.rowsBetween(-(n - 1) + k, 0)
     full = F.count(F.when(x.isNotNull() & lagged.isNotNull(), 1)).over(f) >= n - k
-    moves = (F.var_pop(x).over(f) > 0) & (F.var_pop(lagged).over(f) > 0)
-    return F.when(full & moves, F.corr(x, lagged).over(f))
+    return F.when(full, corr(x, lagged, f))
 
 
 def forward_max(x: Column, w: WindowSpec, n: int, least: int = 1) -> Column:

@@ -95,7 +95,7 @@ def horizon_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = unique_sigs(spark, sf_dir).select("symbol", us("ts").alias("ts_us"), "quality")
     both = df.withColumn("ts_us", us("ts")).join(s, ["symbol", "ts_us"]).filter("quality is not null")
     long = both.select("quality", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"f{h}").alias("ret")) for h in HORIZONS])).alias("x")).select("quality", "x.*").filter("ret is not null")
-    return long.groupBy("horizon").agg(F.corr("quality", "ret").alias("r"), F.count("*").alias("n"))
+    return long.groupBy("horizon").agg(W.corr(F.col("quality"), F.col("ret")).alias("r"), F.count("*").alias("n"))
 
 
 _HZ = "hz as (" + " union all ".join(f"select {h} as horizon, u.quality, f.close / b.close - 1 as ret from us u join b on b.symbol = u.symbol and b.ts_us = epoch_us(u.ts) join b f on f.symbol = b.symbol and f.idx = b.idx + {h} where u.quality is not null" for h in HORIZONS) + ")"
@@ -193,7 +193,7 @@ def a37(spark, sf_dir):
     stats = le.groupBy("slot").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("deviation"), F.min("x").alias("least"), F.max("x").alias("most"))
     qs = exact_quantiles(le, "slot", {"x": F.col("x")}, [0.05, 0.5, 0.95]).groupBy(F.col("grp").alias("slot")).agg(*[F.max(F.when(F.abs(F.col("p") - p) < 1e-9, F.col("x"))).alias(k) for k, p in (("p05", 0.05), ("median", 0.5), ("p95", 0.95))])
     ranked = mean_ranks(mean_ranks(le, "slot", "x", "sig_id", "ra"), "slot", "rf", "sig_id", "rb")
-    rho = ranked.groupBy("slot").agg(F.corr("ra", "rb").alias("rho"))
+    rho = ranked.groupBy("slot").agg(W.corr(F.col("ra"), F.col("rb")).alias("rho"))
     got = stats.join(qs, "slot").join(rho, "slot")
     return got.select("slot", "n", r6("mean").alias("mean"), r6("deviation").alias("deviation"), "least", "most", *[r6(c).alias(c) for c in ("p05", "median", "p95", "rho")])
 
@@ -237,7 +237,7 @@ def mutual_information(df: DataFrame, by: str, bins: int) -> DataFrame:
 def m07(spark, sf_dir):
     """Autocorrelation of returns at lags 1 to 20 per symbol, in one pass."""
     df = core(S.staged(with_halo(positions(bars(spark, sf_dir), "symbol", ["ts"]), 22), [_r(along()), {f"l{k}": F.lag("r", k).over(along()) for k in range(1, 21)}]))
-    g = df.groupBy("symbol").agg(*[F.corr("r", f"l{k}").alias(f"c{k}") for k in range(1, 21)], *[F.count(F.when(F.col("r").isNotNull() & F.col(f"l{k}").isNotNull(), 1)).alias(f"n{k}") for k in range(1, 21)])
+    g = df.groupBy("symbol").agg(*[W.corr(F.col("r"), F.col(f"l{k}")).alias(f"c{k}") for k in range(1, 21)], *[F.count(F.when(F.col("r").isNotNull() & F.col(f"l{k}").isNotNull(), 1)).alias(f"n{k}") for k in range(1, 21)])
     long = g.select("symbol", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), r6(f"c{k}").alias("acf"), F.col(f"n{k}").alias("n")) for k in range(1, 21)])).alias("x")).select("symbol", "x.*")
     return long.filter("n > 2").select("symbol", "lag", "acf")
 

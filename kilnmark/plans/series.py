@@ -228,7 +228,7 @@ def w34(spark, sf_dir):
     df = bars(spark, sf_dir).select("symbol", us("ts").alias("t"), "volume", (F.col("high") - F.col("low")).alias("span"))
     for c, name in (("volume", "ra"), ("span", "rb")):
         df = mean_ranks(df, "symbol", c, "t", name)
-    return df.groupBy("symbol").agg(r6(F.corr("ra", "rb")).alias("rho"))
+    return df.groupBy("symbol").agg(r6(W.corr(F.col("ra"), F.col("rb"))).alias("rho"))
 
 
 def mean_ranks(df: DataFrame, series: str, c: str, unique: str, name: str) -> DataFrame:

@@ -142,9 +142,9 @@ def shape(meta: list[list]) -> bytes:
 
 
 def moved(meta: list[list], shift: int) -> list[list[list]]:
-    """The row groups of meta with all offsets moved by shift; page indexes and Bloom filters, whose content holds
-    offsets of its own, are left out, as readers may do without them."""
-    groups = field(meta, FILE_GROUPS)[1]
+    """The row groups of meta with all offsets moved by shift, empty groups aside; page indexes and Bloom filters, whose
+    content holds offsets of its own, are left out, as readers may do without them."""
+    groups = [g for g in field(meta, FILE_GROUPS)[1] if field(g, GROUP_ROWS)]
     for g in groups:
         for f in g:
             if f[0] == GROUP_OFFSET:
@@ -172,5 +172,5 @@ def body_end(meta: list[list]) -> int:
         for chunk in field(g, GROUP_CHUNKS)[1]:
             m = field(chunk, CHUNK_META)
             starts = [o for o in (field(m, META_DATA), field(m, META_DICT), field(m, META_INDEX)) if o]
-            end = max(end, min(starts) + field(m, META_SIZE))
+            end = max(end, min(starts, default=4) + field(m, META_SIZE))
     return end
