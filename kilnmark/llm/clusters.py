@@ -25,6 +25,7 @@ from .topn import finite, top_n
 
 DIMENSIONS = 4  # widest dimensions that make up a cell
 WIDTH = 5  # side of a cell in likeness radii
+SURE = 0.05  # share of a column's flow that counts in the limit
 CROWD = 20_000  # rows of a cell beyond which it is dealt out in blocks
 MIX = np.uint64(0x9E3779B97F4A7C15)  # odd multiplier of the cell hash
 
@@ -215,6 +216,14 @@ def markov(links: DataFrame, inflation: float = 1.6, least: float = 1e-3, rounds
     return m
 
 
+def attractors(m: DataFrame) -> DataFrame:
+    """node, hub of all nodes that share a cluster with others: hub is the cluster's smallest node.
+
+    Columns that flow to the same rows belong together, as do attractors that flow to each other."""
+    flows = m.filter((F.col("i") != F.col("j")) & (F.col("p") >= SURE)).select(F.col("j").alias("a"), F.col("i").alias("b"))
+    return components(flows).select("node", F.col("root").alias("hub"))
+
+
 def clusters(df: DataFrame, id: str, cols: list[str], radius: float, least_rows: int, exact: bool = True) -> tuple[DataFrame, DataFrame]:
     """Members (cluster_id, id, flow) of all clusters with at least `least_rows` rows, and clusters (cluster_id, size).
 
@@ -224,8 +233,7 @@ def clusters(df: DataFrame, id: str, cols: list[str], radius: float, least_rows:
     alike; extra columns are ignored; an empty df gives empty results."""
     members, links = similarity_graph(df, id, cols, radius)
     m = markov(links)
-    best = m.groupBy("j").agg(F.max_by("i", F.struct("p", -F.col("i"))).alias("hub"))
-    node = cut(members.select("node").distinct().join(best.withColumnRenamed("j", "node"), "node", "left").select("node", F.coalesce("hub", "node").alias("hub")))
+    node = cut(members.select("node").distinct().join(attractors(m), "node", "left").select("node", F.coalesce("hub", "node").alias("hub")))
     if exact:
         hub = lambda c: node.select(F.col("node").alias(c), F.col("hub").alias(c + "h"))
         apart = links.join(hub("a"), "a").join(hub("b"), "b").filter("ah <> bh").select(F.least("ah", "bh").alias("a"), F.greatest("ah", "bh").alias("b")).distinct()

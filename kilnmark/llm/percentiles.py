@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut, partitions
-from .topn import _changes, finite
+from .topn import _changes, finite, whole
 
 
 def _runs(t: pa.Table, keys: list[str]) -> np.ndarray:
@@ -150,5 +150,5 @@ def long_measures(signatures: DataFrame, **groups: Column) -> DataFrame:
 
 def symbol_and_phylum(signatures: DataFrame) -> DataFrame:
     """kind ('symbol' or 'phylum'), grp, measure, value, sig_id: every row once for its symbol, once for its phylum."""
-    both = F.array(F.struct(F.lit("symbol").alias("kind"), F.col("symbol").alias("grp")), F.struct(F.lit("phylum").alias("kind"), F.when(finite("slot_28"), F.col("slot_28").cast("long").cast("string")).alias("grp")))
+    both = F.array(F.struct(F.lit("symbol").alias("kind"), F.col("symbol").alias("grp")), F.struct(F.lit("phylum").alias("kind"), F.when(finite("slot_28"), whole("slot_28").cast("string")).alias("grp")))
     return long_measures(signatures.withColumn("_g", F.explode(both)), kind=F.col("_g.kind"), grp=F.col("_g.grp")).filter(F.col("grp").isNotNull())

@@ -79,8 +79,14 @@ def finite(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
+def whole(c: str) -> Column:
+    """A finite number as a long; beyond the range of longs the nearest one."""
+    x = F.col(c).cast("double")
+    return F.when(x >= 2.0**63, F.lit(2**63 - 1)).when(x <= -(2.0**63), F.lit(-(2**63))).otherwise(F.when(F.abs(x) < 2.0**63, x).cast("long"))
+
+
 def best_of_phylum(signatures: DataFrame, n: int = 5) -> DataFrame:
     """Per finite slot_28 the n rows of highest finite slot_31, ties by smaller sig_id: phylum, sig_id, slot_31, place."""
     rows = signatures.filter(finite("slot_28") & finite("slot_31"))
-    rows = rows.select(F.col("slot_28").cast("long").alias("phylum"), "sig_id", "slot_31")
+    rows = rows.select(whole("slot_28").alias("phylum"), "sig_id", "slot_31")
     return top_n(rows, ["phylum"], [F.col("slot_31").desc(), F.col("sig_id").asc()], n, "place")

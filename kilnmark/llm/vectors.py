@@ -127,17 +127,21 @@ def _stack(b: pa.RecordBatch, cols: list[str]) -> np.ndarray:
 
 def _search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, within: float | None, block: int = 256):
     """Of every query its k nearest among x, or those within a distance: query id, id, distance."""
-    sq = (x * x).sum(1)
+    mid = x.mean(0)
+    xc = x - mid
+    sq = (xc * xc).sum(1)
     got = []
     for a in range(0, len(q), block):
         qs = q[a : a + block]
-        d = sq[None] - 2 * (qs @ x.T)
-        d += (qs * qs).sum(1)[:, None]
-        if within is not None:
-            i, j = np.nonzero(d <= within * within + 1e-4)
+        qc = qs - mid
+        own = (qc * qc).sum(1)
+        d = sq[None] - 2 * (qc @ xc.T)
+        d += own[:, None]
+        if within is not None:  # single precision finds candidates, with room for its error; double decides
+            i, j = np.nonzero(d <= within * within + 1e-4 + 2e-6 * (own[:, None] + sq[None]))
         else:
             d[qids[a : a + block, None] == ids[None]] = np.inf
-            kk = min(k, len(x))
+            kk = min(k + 8, len(x))
             j = np.argpartition(d, kk - 1, axis=1)[:, :kk]
             i, j = np.repeat(np.arange(len(qs)), kk), j.ravel()
         i, j = i[qids[a + i] != ids[j]], j[qids[a + i] != ids[j]]
