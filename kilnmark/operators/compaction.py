@@ -21,6 +21,7 @@ from ..session import cut, work_path
 from ..sources import footers
 
 TARGET = 128 << 20  # bytes of a well-sized file
+BROADCAST_IDS = 500_000  # ids of rows to leave out that may be sent to all tasks, some 30 bytes each
 
 
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -129,7 +130,9 @@ def compact_signatures(signatures: DataFrame, files: DataFrame, target: str, siz
     then merged by blocks. Raises if rows were lost or doubled."""
     spark = signatures.sparkSession
     doubles = cut(duplicates(signatures))
-    kept = signatures.drop("year", "month").join(doubles.filter("sig_id <> keeper").select("sig_id"), "sig_id", "left_anti")
+    left_out = doubles.filter("sig_id <> keeper").select("sig_id").distinct()
+    lost = left_out.count()
+    kept = signatures.drop("year", "month").join(F.broadcast(left_out) if lost <= BROADCAST_IDS else left_out, "sig_id", "left_anti")
     at = instant(F.col("timestamp"))
     timed = kept.filter(at.isNotNull()).withColumn("year", F.date_format(at, "yyyy")).withColumn("month", F.date_format(at, "MM"))
     of = lambda k: F.regexp_extract("path", rf"{k}=(\d+)", 1)
@@ -140,7 +143,9 @@ def compact_signatures(signatures: DataFrame, files: DataFrame, target: str, siz
     small = work_path(spark, "small-files")
     timed.unionByName(untimed).write.partitionBy("year", "month").parquet(small)
     merged = compact(spark, small, target, size)
-    total, lost = signatures.count(), doubles.filter("sig_id <> keeper").count()
+    fs, path = _fs(small)
+    fs.delete_dir(path)
+    total = signatures.count()
     rows = merged.agg(F.sum("rows")).first()[0] or 0
     if rows != total - lost:
         raise ValueError(f"{total} rows, {lost} of them doubles, but {rows} were stored")
