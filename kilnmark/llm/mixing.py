@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import cut, stored
 from .worker import kept
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -114,7 +114,7 @@ def mix_plan(counts: DataFrame, targets: DataFrame) -> DataFrame:
     """The plan of every target source, from token counts (see token_counts). Only sums per target source reach the
     driver: as many rows as `targets` has. Sources of targets count once, the smaller name's row first."""
     want = targets.select(source_key().alias("source"), "target_share", "max_repeats").filter("source is not null and target_share is not null").dropDuplicates(["source"])
-    by = counts.groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    by = cut(counts.groupBy("source").agg(F.sum("tokens").alias("tokens")))
     total = by.agg(F.sum("tokens")).first()[0] or 0
     rows = want.join(by, "source", "left").select("source", "target_share", F.coalesce("max_repeats", F.lit(1)).alias("r"), F.coalesce("tokens", F.lit(0)).alias("tokens")).collect()
     made = plan({r["source"]: r["tokens"] for r in rows}, {r["source"]: r["target_share"] for r in rows}, {r["source"]: r["r"] for r in rows}, total)
@@ -150,6 +150,6 @@ def mixed(documents: DataFrame, targets: DataFrame, seed: int = 7, vocabulary: s
 
 def short_sources(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """source, as targets spell it, of those that fall short of their target."""
-    made = mix_plan(token_counts(documents, vocabulary).groupBy("source").agg(F.sum("tokens").alias("tokens")), targets)
+    made = mix_plan(token_counts(documents, vocabulary), targets)
     names = targets.select("source", source_key().alias("k"))
     return names.join(made.filter("short").select(F.col("source").alias("k")), "k").select("source")
