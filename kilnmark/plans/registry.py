@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, evaluation, events, learning, pqueries, series, storage
+from . import archive, evaluation, events, learning, pqueries, series, small, storage
 
-PARTS = (events.q, series.q, archive.q, evaluation.q, storage.q, learning.q)
+PARTS = (events.q, series.q, archive.q, evaluation.q, storage.q, learning.q, small.q)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**pqueries.QUERIES, **{k: f for p in PARTS for k, f in p.queries.items()}}
 SQL: dict[str, str] = {**pqueries.SQL, **{k: s for p in PARTS for k, s in p.sql.items()}}
 
