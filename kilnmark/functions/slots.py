@@ -273,36 +273,71 @@ def ewm(x: np.ndarray, span: float) -> np.ndarray:
     return pd.Series(x).ewm(span=span, adjust=False).mean().to_numpy()
 
 
+def mean_autocorrelation(v: np.ndarray, lags: tuple[int, ...]) -> np.ndarray:
+    """Mean absolute autocorrelation of every window over the lags at which it varies; 0 without any."""
+    total, count = np.zeros(len(v)), np.zeros(len(v))
+    for k in lags:
+        a, b = v[:, k:], v[:, :-k]
+        a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
+        d = np.sqrt((a * a).sum(1) * (b * b).sum(1))
+        total += np.where(d > 0, np.abs((a * b).sum(1)) / np.where(d > 0, d, 1), 0)
+        count += d > 0
+    return total / np.maximum(count, 1)
+
+
+def wick_scores(o: np.ndarray, h: np.ndarray, low: np.ndarray, c: np.ndarray, cfg: SlotConfig) -> np.ndarray:
+    span, body = np.maximum(h - low, EPS), np.maximum(np.abs(c - o), EPS)
+    wick = pd.Series(np.minimum(span / body, cfg.wick_limit))
+    q = wick.rolling(cfg.wick_window, min_periods=1).quantile(cfg.wick_quantile)
+    s = np.minimum(wick * (body / span < cfg.wick_body), q)
+    return np.clip(s / s.rolling(cfg.wick_window, min_periods=1).max().clip(lower=EPS), 0, 1).to_numpy()
+
+
 KERNEL_SLOTS = ("slot_00", "slot_02", "slot_04", "slot_06", "slot_13", "slot_14")
+# Windows can express these two as well, but sliding frames rebuild their state for every row.
+BULK_SLOTS = (*KERNEL_SLOTS, "slot_05", "slot_10")
 
 
-def block_slots(t: pa.Table, cfg: SlotConfig) -> dict[str, np.ndarray]:
+def block_slots(t: pa.Table, cfg: SlotConfig, names: tuple[str, ...]) -> dict[str, np.ndarray]:
     """The kernel slots of one block whose rows are in order."""
     get = lambda c: t[c].to_pandas().to_numpy(dtype=float, na_value=np.nan)
-    r, close = get("r"), get("close")
-    span = max(cfg.absorb_window * (1 - cfg.absorb_decay), 1.0)
-    bought, sold = ewm(get("at_low"), span), ewm(get("at_high"), span)
-    ribbon = pd.Series(np.mean([np.abs(close - ewm(close, s)) for s in cfg.ribbon_spans], axis=0))
-    roll = ribbon.rolling(cfg.ribbon_window, min_periods=1)
-    raw = np.nan_to_num(per_window(np.nan_to_num(r), cfg.cycle_window, phase_speed))
-    top = pd.Series(raw).rolling(cfg.cycle_window).max().to_numpy()
-    return {
-        "slot_00": np.nan_to_num(np.clip((bought - sold) / (bought + sold + EPS), -1, 1)),
-        "slot_02": np.nan_to_num(per_window(r, cfg.spectral_window, spectral_entropy)),
-        "slot_04": np.nan_to_num(per_window(r, cfg.hurst_window, hurst_gap)),
-        "slot_06": np.nan_to_num(((ribbon - roll.mean()) / roll.std().clip(lower=EPS)).clip(-10, 10).to_numpy()),
-        "slot_13": np.nan_to_num(per_window(r, cfg.entropy_window, lambda v: shannon_entropy(v, cfg.entropy_bins))),
-        "slot_14": np.nan_to_num(np.clip(raw / np.maximum(top, EPS), 0, 1)),
+    r = get("r")
+
+    def absorbed() -> np.ndarray:
+        span = max(cfg.absorb_window * (1 - cfg.absorb_decay), 1.0)
+        bought, sold = ewm(get("at_low"), span), ewm(get("at_high"), span)
+        return np.clip((bought - sold) / (bought + sold + EPS), -1, 1)
+
+    def ribbon() -> np.ndarray:
+        close = get("close")
+        x = pd.Series(np.mean([np.abs(close - ewm(close, s)) for s in cfg.ribbon_spans], axis=0))
+        roll = x.rolling(cfg.ribbon_window, min_periods=1)
+        return ((x - roll.mean()) / roll.std().clip(lower=EPS)).clip(-10, 10).to_numpy()
+
+    def cycle() -> np.ndarray:
+        raw = np.nan_to_num(per_window(np.nan_to_num(r), cfg.cycle_window, phase_speed))
+        return np.clip(raw / np.maximum(pd.Series(raw).rolling(cfg.cycle_window).max().to_numpy(), EPS), 0, 1)
+
+    kernels = {
+        "slot_00": absorbed,
+        "slot_02": lambda: per_window(r, cfg.spectral_window, spectral_entropy),
+        "slot_04": lambda: per_window(r, cfg.hurst_window, hurst_gap),
+        "slot_05": lambda: per_window(r, cfg.lag_window, lambda v: mean_autocorrelation(v, cfg.lags)),
+        "slot_06": ribbon,
+        "slot_10": lambda: wick_scores(get("open"), get("high"), get("low"), get("close"), cfg),
+        "slot_13": lambda: per_window(r, cfg.entropy_window, lambda v: shannon_entropy(v, cfg.entropy_bins)),
+        "slot_14": cycle,
     }
+    return {k: np.nan_to_num(kernels[k]()) for k in names}
 
 
-def with_kernel_slots(df: DataFrame, cfg: SlotConfig) -> DataFrame:
-    """Adds the kernel slots to haloed rows; the blocks lie together already, so nothing moves."""
-    schema = T.StructType([*df.schema.fields, *[T.StructField(s, T.DoubleType()) for s in KERNEL_SLOTS]])
+def with_kernel_slots(df: DataFrame, cfg: SlotConfig, names: tuple[str, ...]) -> DataFrame:
+    """Adds kernel slots to haloed rows; the blocks lie together already, so nothing moves."""
+    schema = T.StructType([*df.schema.fields, *[T.StructField(s, T.DoubleType()) for s in names]])
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by(IDX)
-        for name, x in block_slots(t, cfg).items():
+        for name, x in block_slots(t, cfg, names).items():
             t = t.append_column(name, pa.array(x))
         return t
 
@@ -346,7 +381,7 @@ def single_slot(bars: DataFrame, name: str, cfg: SlotConfig = SlotConfig()) -> D
         raise ValueError(f"no implementation of {name}")
     df = staged(haloed(bars), base(along(), cfg))
     if name in KERNEL_SLOTS:
-        df = with_kernel_slots(staged(df, absorption(along(), cfg)), cfg)
+        df = with_kernel_slots(staged(df, absorption(along(), cfg)), cfg, (name,))
     else:
         df = staged(df, REGISTRY[name](along(), cfg))
     if name == "slot_08":
@@ -367,7 +402,7 @@ def all_slots(bars: DataFrame, cfg: SlotConfig = SlotConfig(), ahead: int = 0) -
     The regime slot needs the extremes of each series' volatility, which a first pass gathers."""
     w = along()
     df = haloed(bars, BACK, ahead)
-    native = [base(w, cfg), *[f(w, cfg) for f in REGISTRY.values()]]
+    native = [base(w, cfg), *[f(w, cfg) for k, f in REGISTRY.items() if k not in BULK_SLOTS or k == "slot_00"]]
     first = staged(staged(df, base(w, cfg)[:1]), regime_volatility(w, cfg)).filter(CORE)
     span = first.groupBy("symbol").agg(F.min("volatility").alias("vol_low"), F.max("volatility").alias("vol_high"))
     for stages in native:
@@ -375,6 +410,6 @@ def all_slots(bars: DataFrame, cfg: SlotConfig = SlotConfig(), ahead: int = 0) -
     df = df.join(span, "symbol").withColumn("slot_08", regimes(cfg))
     keep = ["symbol", "interval", "ts", "open", "high", "low", "close", "volume", IDX, "block", CORE, "r", "at_low", "at_high"]
     names = [f"slot_{i:02d}" for i in range(15)]
-    df = df.select(*keep, *[n for n in names if n not in KERNEL_SLOTS])
-    df = with_kernel_slots(df, cfg).drop("at_low", "at_high")
+    df = df.select(*keep, *[n for n in names if n not in BULK_SLOTS])
+    df = with_kernel_slots(df, cfg, BULK_SLOTS).drop("at_low", "at_high")
     return staged(df, composite(w, cfg))

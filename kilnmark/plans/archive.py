@@ -291,8 +291,8 @@ _PAIRS = [(a, b) for i, a in enumerate(_SLOTS16) for b in _SLOTS16[i + 1 :]]
 @q("a23_correlations", sql("select * from (" + " union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 6) as r from sigs" for a, b in _PAIRS) + ") t order by abs(r) desc, a, b limit 12"))
 def a23(spark, sf_dir):
     """The 12 strongest of all slot correlations."""
-    one = sigs(spark, sf_dir).agg(*[W.corr(F.col(a), F.col(b)).alias(f"{a}:{b}") for a, b in _PAIRS])
-    long = one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r6(F.col(f"`{a}:{b}`")).alias("r")) for a, b in _PAIRS])).alias("c")).select("c.*")
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in _PAIRS])).alias("c")
+    long = sigs(spark, sf_dir).select(pairs).select("c.*").groupBy("a", "b").agg(r6(W.corr(F.col("x"), F.col("y"))).alias("r"))
     return long.orderBy(F.abs("r").desc(), "a", "b").limit(12)
 
 

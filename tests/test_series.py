@@ -83,6 +83,13 @@ def test_slots_do_not_depend_on_blocks_or_the_future(spark, monkeypatch):
     np.testing.assert_allclose(past[names], whole[names][:1500], atol=1e-7)
 
 
+def test_kernels_equal_windows(spark, slots):
+    pdf, got = slots
+    for name in ("slot_05", "slot_10"):
+        one = S.single_slot(spark.createDataFrame(pdf), name).toPandas().sort_values("ts")
+        np.testing.assert_allclose(got[name], one[name], atol=1e-9, err_msg=name)
+
+
 def test_flat_and_short_series(spark):
     flat = series(400)
     flat[["open", "high", "low", "close"]] = 5.0
