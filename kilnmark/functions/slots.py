@@ -331,19 +331,45 @@ def block_slots(t: pa.Table, cfg: SlotConfig, names: tuple[str, ...]) -> dict[st
     return {k: np.nan_to_num(kernels[k]()) for k in names}
 
 
-def with_kernel_slots(df: DataFrame, cfg: SlotConfig, names: tuple[str, ...]) -> DataFrame:
-    """Adds kernel slots to haloed rows; the blocks lie together already, so nothing moves."""
-    schema = T.StructType([*df.schema.fields, *[T.StructField(s, T.DoubleType()) for s in names]])
+def composite_values(slots: dict[str, np.ndarray], cfg: SlotConfig) -> np.ndarray:
+    """slot_15 of one block, as `composite` has it."""
+    total = 0.0
+    for s, weight in cfg.weights.items():
+        x = pd.Series(slots[s])
+        if s in cfg.bounds:
+            low, high = cfg.bounds[s]
+            y = (x.abs().clip(upper=high) if low < 0 else x.clip(low, high) - low) / (high - max(low, 0.0) + EPS)
+        else:
+            roll = x.rolling(cfg.norm_window, min_periods=1)
+            y = (x - roll.min()) / (roll.max() - roll.min()).clip(lower=EPS)
+        total = total + y.clip(0, 1).fillna(0.0) * weight
+    return np.clip(np.asarray(total, float), 0, 1)
+
+
+def with_kernel_slots(df: DataFrame, cfg: SlotConfig, names: tuple[str, ...], total: bool = False) -> DataFrame:
+    """Adds kernel slots, and slot_15 if `total`, to haloed rows; the blocks lie together already, so nothing moves."""
+    schema = T.StructType([*df.schema.fields, *[T.StructField(s, T.DoubleType()) for s in (*names, *["slot_15"] * total)]])
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by(IDX)
         for name, x in block_slots(t, cfg, names).items():
             t = t.append_column(name, pa.array(x))
+        if total:
+            t = t.append_column("slot_15", pa.array(composite_values({s: t[s].to_numpy() for s in cfg.weights}, cfg)))
         return t
 
     return df.groupBy("symbol", "block").applyInArrow(run, schema)
 
 
+def checked(cfg: SlotConfig) -> SlotConfig:
+    if abs(sum(cfg.weights.values()) - 1) > 1e-9:
+        raise ValueError(f"weights sum to {sum(cfg.weights.values())}, not 1")
+    unknown = set(cfg.weights) - {f"slot_{i:02d}" for i in range(15)}
+    if unknown:
+        raise KeyError(f"no such slots: {sorted(unknown)}")
+    return cfg
+
+
 def staged(df: DataFrame, stages: list[Columns]) -> DataFrame:
     for s in stages:
         df = df.withColumns(s)
@@ -352,11 +378,7 @@ def staged(df: DataFrame, stages: list[Columns]) -> DataFrame:
 
 def composite(w: WindowSpec, cfg: SlotConfig) -> list[Columns]:
     """slot_15: weighted sum of the slots scaled to [0, 1] by static bounds or a rolling range. Weights must sum to 1."""
-    if abs(sum(cfg.weights.values()) - 1) > 1e-9:
-        raise ValueError(f"weights sum to {sum(cfg.weights.values())}, not 1")
-    unknown = set(cfg.weights) - {f"slot_{i:02d}" for i in range(15)}
-    if unknown:
-        raise KeyError(f"no such slots: {sorted(unknown)}")
+    cfg = checked(cfg)
     total = F.lit(0.0)
     for s, weight in cfg.weights.items():
         x = F.col(s)
@@ -411,5 +433,4 @@ def all_slots(bars: DataFrame, cfg: SlotConfig = SlotConfig(), ahead: int = 0) -
     keep = ["symbol", "interval", "ts", "open", "high", "low", "close", "volume", IDX, "block", CORE, "r", "at_low", "at_high"]
     names = [f"slot_{i:02d}" for i in range(15)]
     df = df.select(*keep, *[n for n in names if n not in BULK_SLOTS])
-    df = with_kernel_slots(df, cfg, BULK_SLOTS).drop("at_low", "at_high")
-    return staged(df, composite(w, cfg))
+    return with_kernel_slots(df, checked(cfg), BULK_SLOTS, total=True).drop("at_low", "at_high")

@@ -90,6 +90,13 @@ def test_kernels_equal_windows(spark, slots):
         np.testing.assert_allclose(got[name], one[name], atol=1e-9, err_msg=name)
 
 
+def test_composite_kernel_equals_windows(spark, slots):
+    pdf, got = slots
+    df = with_halo(spark.createDataFrame(got.drop(columns="slot_15")), 2000)
+    one = core(S.staged(df, S.composite(along(), S.SlotConfig()))).toPandas().sort_values("ts")
+    np.testing.assert_allclose(got.slot_15, one.slot_15, atol=1e-9)
+
+
 def test_flat_and_short_series(spark):
     flat = series(400)
     flat[["open", "high", "low", "close"]] = 5.0
