@@ -53,7 +53,7 @@ def t01(spark, sf_dir):
 def t03(spark, sf_dir):
     """Rank of every event's value in its type's week before, kept as state by type."""
     rows = flows.stream_table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), (us("ts") / 1e6).alias("seconds"), "value")
-    return flows.drained(flows.buffer_ranks(rows, "key", "seconds", "value", 86_400), "buffer").select("key", "seconds", "seen", r6("share").alias("share"))
+    return flows.drained(flows.buffer_ranks(rows, "key", "seconds", "value", C.WEEK), "buffer").select("key", "seconds", "seen", r6("share").alias("share"))
 
 
 @q("t05_stream_once_each_batch", "select event_type, count(*) as n from events group by event_type")

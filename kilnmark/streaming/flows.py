@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -51,26 +52,33 @@ def buffer_ranks(rows: DataFrame, key: str, seconds: str, value: str, span: int)
     """Per row of a key its rank among the key's earlier values: key, seconds, value, seen, share.
 
     seen: earlier rows back to `span` seconds before the row that came last; share: how many of them are not above
-    the value, or the value itself without any. State per key: the rows of the span. Rows of one micro-batch are put
+    the value, or the value itself without any. State per key: the rows of the span, by time, and when the last one came. Rows of one micro-batch are put
     in order of time; rows older than those already seen are taken at the end."""
     schema = f"{key} string, {seconds} double, {value} double, seen long, share double"
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, values = (list(x) for x in state.get) if state.exists else ([], [])
+        times, values, last = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], None)
+        ranked = sorted(v for v in values if v == v)  # NaN is no value's equal or less
         pdf = pd.concat(list(batches)).sort_values([seconds, value])
         out = []
         for t, v in zip(pdf[seconds], pdf[value], strict=True):
-            if times:
-                keep = [i for i, x in enumerate(times) if x >= times[-1] - span]
-                times, values = [times[i] for i in keep], [values[i] for i in keep]
+            if last is not None and (old := bisect_left(times, last - span)):
+                for x in values[:old]:
+                    if x == x:
+                        del ranked[bisect_left(ranked, x)]
+                del times[:old], values[:old]
             n = len(values)
-            out.append((k[0], t, v, n, sum(x <= v for x in values) / n if n else v))
-            times.append(t)
-            values.append(v)
-        state.update((times, values))
+            out.append((k[0], t, v, n, (bisect_right(ranked, v) if v == v else 0) / n if n else v))
+            at = bisect_right(times, t)
+            times.insert(at, t)
+            values.insert(at, v)
+            if v == v:
+                insort(ranked, v)
+            last = t
+        state.update((times, values, last))
         yield pd.DataFrame(out, columns=[key, seconds, value, "seen", "share"])
 
-    return rows.select(key, seconds, value).groupBy(key).applyInPandasWithState(step, schema, "times array<double>, vals array<double>", "append", GroupStateTimeout.NoTimeout)
+    return rows.select(key, seconds, value).groupBy(key).applyInPandasWithState(step, schema, "times array<double>, vals array<double>, last double", "append", GroupStateTimeout.NoTimeout)
 
 
 def delayed_outcomes(bars: DataFrame, horizon: int) -> DataFrame:

@@ -170,3 +170,17 @@ def test_streams_equal_batches(spark, tmp_path):
     flows.into_folder(stream(), f"{tmp_path}/sink", f"{tmp_path}/state")
     flows.into_folder(stream(), f"{tmp_path}/sink", f"{tmp_path}/state")
     assert spark.read.parquet(f"{tmp_path}/sink").count() == 40
+
+
+def test_stream_buffer_spans_a_week(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    day = lambda d: pd.Timestamp("2024-01-01") + pd.Timedelta(days=d)
+    rows = [("k", day(0.5 * i), float((i * 7) % 11)) for i in range(30)] + [("z", day(3), 1.0)]
+    spark.createDataFrame(pd.DataFrame(rows, columns=["event_type", "ts", "value"])).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = entry.queries()["t03_stream_buffer"](spark, str(tmp_path)).toPandas().sort_values("seconds")
+    assert got[got.key == "z"][["seen", "share"]].values.tolist() == [[0, 1.0]]
+    for n, r in enumerate(got[got.key == "k"].itertuples()):
+        want = [v for _, t, v in rows[:n] if t >= rows[n - 1][1] - pd.Timedelta(days=7)]
+        assert r.seen == len(want) and r.share == pytest.approx(np.mean([v <= rows[n][2] for v in want]) if want else rows[n][2], abs=1e-6)
+    assert got.seen.max() == 15
