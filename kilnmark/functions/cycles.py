@@ -53,7 +53,11 @@ def change_distance(r: np.ndarray, cycle: int, ratio: float = 2.0, most: int = 6
 
 
 def mutual_information(x: np.ndarray, y: np.ndarray, bins: int) -> float:
-    h = np.histogram2d(x, y, bins)[0]
+    return information(np.histogram2d(x, y, bins)[0])
+
+
+def information(h: np.ndarray) -> float:
+    """Mutual information of the counts h, in nats."""
     p = h / max(h.sum(), 1)
     a, b = p.sum(1, keepdims=True), p.sum(0, keepdims=True)
     ok = p > 0
@@ -67,11 +71,14 @@ def trailing_sum(r: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def cycle_ratio(r: np.ndarray, cycle: int, bins: int = 12, grid: int = 11) -> float:
+RATIO_BINS, RATIOS = 12, np.linspace(0.5, 1.5, 11)
+
+
+def cycle_ratio(r: np.ndarray, cycle: int, bins: int = RATIO_BINS) -> float:
     """The window length, in cycles, whose summed return tells most about the cycle's return; 1 if none does."""
     y = trailing_sum(r, cycle)[cycle - 1 :]
     best, ratio = 0.0, 1.0
-    for m in np.linspace(0.5, 1.5, grid):
+    for m in RATIOS:
         w = max(int(cycle * m), 2)
         x = trailing_sum(r, w)[w - 1 :]
         k = min(len(x), len(y)) - cycle
@@ -86,64 +93,106 @@ def acf(r: np.ndarray, lags: int) -> np.ndarray:
     return np.array([(x[k:] * x[:-k]).sum() / v for k in range(1, lags + 1)])
 
 
-def significant_lags(r: np.ndarray) -> tuple[int, ...]:
-    """3 to 8 of the lags 1 to 20 whose autocorrelation stands out against recent noise, else 1 to 5."""
-    if len(r) < 220:
-        return (1, 2, 3, 4, 5)
-    noise = np.percentile(np.abs(acf(r[-200:], 20)), 95)
-    found = [k + 1 for k, v in enumerate(np.abs(acf(r, 20))) if v > noise]
+NOISE_BARS, NOISE_LAGS = 200, 20
+
+
+def noise(r: np.ndarray) -> float:
+    """The autocorrelation that 95 % of the first lags of the latest returns stay below."""
+    return float(np.percentile(np.abs(acf(r[-NOISE_BARS:], NOISE_LAGS)), 95)) if len(r) >= NOISE_BARS + NOISE_LAGS else math.inf
+
+
+def most_lags(n: int, cycle: int) -> int:
+    """How many lags of autocorrelation n returns need."""
+    return max(min(cycle, n // 3), NOISE_LAGS if n >= NOISE_BARS + NOISE_LAGS else 0)
+
+
+def significant_lags(a: np.ndarray, least: float) -> tuple[int, ...]:
+    """3 to 8 of the lags 1 to 20 whose autocorrelation a stands out against recent noise, else 1 to 5."""
+    found = [k + 1 for k, v in enumerate(np.abs(a[:NOISE_LAGS])) if v > least]
     return tuple(found[:8]) if len(found) >= 3 else (1, 2, 3, 4, 5)
 
 
-def ribbon_spans(r: np.ndarray, cycle: int) -> tuple[int, ...]:
-    """Lags of the strongest local maxima of autocorrelation beyond 2 / sqrt(n), else a geometric row up to the cycle."""
-    lags = min(cycle, len(r) // 3)
+def ribbon_spans(a: np.ndarray, n: int, cycle: int) -> tuple[int, ...]:
+    """Lags of the strongest local maxima of the autocorrelation a of n returns beyond 2 / sqrt(n), else a geometric row up to the cycle."""
+    lags = min(cycle, n // 3)
     if lags >= 5:
-        a = np.abs(acf(r, lags))
-        peaks = [k for k in range(1, lags - 1) if a[k] > a[k - 1] and a[k] >= a[k + 1] and a[k] > 2 / math.sqrt(len(r))]
+        a = np.abs(a[:lags])
+        peaks = [k for k in range(1, lags - 1) if a[k] > a[k - 1] and a[k] >= a[k + 1] and a[k] > 2 / math.sqrt(n)]
         if len(peaks) >= 3:
             return tuple(sorted(k + 1 for k in sorted(peaks, key=lambda k: -a[k])[:5]))
     return tuple(sorted({max(2, round(cycle * f)) for f in (1 / 24, 1 / 12, 1 / 6, 1 / 3, 2 / 3)}))
 
 
+VOLATILITY_CYCLES, LEAST_STATES_BARS = 30, 128
+AT = {"proximity": (5,), "imbalance": (85,), "body": (20,), "wick": (99,), "rv": (5, 25, 50, 75, 95)}  # percentiles that priors need
+
+
+def realised(x: np.ndarray, w: int) -> np.ndarray:
+    """Standard deviation of the latest w values, or of as many as there are; NaN for the first."""
+    n = len(x)
+    t = np.arange(1, n + 1)
+    k = np.minimum(t, w)
+    m = x.mean() if n else 0.0
+    total = lambda z: (lambda c: c[t] - c[t - k])(np.append(0.0, np.cumsum(z)))
+    a, b = total(x - m), total((x - m) ** 2)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(k > 1, np.sqrt(np.maximum(b - a * a / k, 0) / (k - 1)), np.nan)
+
+
+def by_bar(o: np.ndarray, h: np.ndarray, low: np.ndarray, c: np.ndarray, d: int) -> dict[str, np.ndarray]:
+    """What percentiles and volatility levels are taken of, per bar; x is the return, 0 at the first bar."""
+    span, body, w = np.maximum(h - low, _EPS), np.abs(c - o), max(d // 12, 2)
+    proximity = np.full(len(c), np.nan)
+    if len(c) >= w:
+        lo = np.lib.stride_tricks.sliding_window_view(low, w).min(1)
+        hi = np.lib.stride_tricks.sliding_window_view(h, w).max(1)
+        proximity[w - 1 :] = (low[w - 1 :] - lo) / np.maximum(hi - lo, _EPS)
+    x = np.diff(np.log(c), prepend=np.log(c[:1]))
+    signed = (2 * (c - low) / span - 1).clip(-1, 1)
+    return {"proximity": proximity, "signed": signed, "imbalance": np.abs(signed), "body": body / span, "wick": np.minimum(span / np.maximum(body, _EPS), 100), "rv": realised(x, VOLATILITY_CYCLES * d), "x": x}
+
+
+def fence(q1: float, q3: float) -> float:
+    return q3 + 1.5 * (q3 - q1)
+
+
 def derive(o: np.ndarray, h: np.ndarray, low: np.ndarray, c: np.ndarray, v: np.ndarray, states: bool = True) -> dict[str, float]:
-    """All priors of one series' latest bars, by name; lists are numbered."""
+    """All priors of one series, from all its bars, by name; lists are numbered. The query m07_all_priors gives the same in many tasks."""
     r = np.diff(np.log(c)) if len(c) > 1 else np.zeros(0)
     d = dominant_cycle(r)
-    span = np.maximum(h - low, _EPS)
-    body = np.abs(c - o)
-    imbalance = (2 * (c - low) / span - 1).clip(-1, 1)
-    pct = lambda x, p, a, b: float(np.clip(np.percentile(x, p), a, b)) if len(x) else a
+    b = by_bar(o, h, low, c, d)
+    f: dict = {(k, p): float(np.percentile(z, p)) for k, ps in AT.items() if len(z := b[k][~np.isnan(b[k])]) for p in ps}
+    f["wick_top"] = float(b["wick"].max()) if len(c) else 0.0
+    rv = b["rv"][~np.isnan(b["rv"])]
+    f["inside"] = float(np.mean(rv <= fence(f["rv", 25], f["rv", 75]))) if len(rv) else 1.0
+    u = b["signed"][:-1]
+    f["corr"] = float(np.corrcoef(u, r)[0, 1]) if len(r) > 2 and u.std() > 0 and r.std() > 0 else None
+    f["states"] = best_states(np.stack([b["x"], np.nan_to_num(b["rv"])], 1)) if states and len(c) >= LEAST_STATES_BARS else 4
+    return assemble(d, len(c), f, acf(r, most_lags(len(r), d)), noise(r), change_distance(r, d), cycle_ratio(r, d))
+
+
+def assemble(d: int, bars: int, f: dict, a: np.ndarray, least: float, distance: float, ratio: float) -> dict[str, float]:
+    """Priors from the cycle d, the number of bars, facts f of all bars (percentiles by (name, p)), autocorrelations a and the noise they must pass."""
     w = max(d // 12, 2)
-    if len(c) > w:
-        lo = np.lib.stride_tricks.sliding_window_view(low, w).min(1)
-        hi = np.lib.stride_tricks.sliding_window_view(h, w).max(1)
-        proximity = (low[w - 1 :] - lo) / np.maximum(hi - lo, _EPS)
-    else:
-        proximity = np.zeros(0)
-    wick = np.minimum(span / np.maximum(body, _EPS), 100)
-    rv = np.array([r[max(0, i - 30) : i + 1].std() for i in range(1, len(r), max(1, len(r) // 400))]) if len(r) > 2 else np.array([0.0035])
-    base = float(np.median(rv)) or 0.0035
-    q1, q3 = np.percentile(rv, [25, 75])
-    corr = abs(float(np.corrcoef(imbalance[:-1], r)[0, 1])) if len(r) > 2 and imbalance[:-1].std() > 0 and r.std() > 0 else 0.65
-    vol = np.array([r[max(0, i - d) : i + 1].std() for i in range(len(r))]) if states and len(r) >= 128 else None
+    clipped = lambda k, p, lo, hi: float(np.clip(f[k, p], lo, hi)) if (k, p) in f else lo
+    base = f.get(("rv", 50), 0.0035) or 0.0035
     out = {
-        "dominant_cycle": d, "warmup_bars": min(max(2 * d, 500), max(len(c) // 2, 1)),
-        "slot_00.window": w, "slot_00.decay": float(np.clip(math.exp(-1 / d), 0.5, 0.9999)), "slot_00.threshold": pct(proximity, 5, 1e-6, 0.5),
+        "dominant_cycle": d, "warmup_bars": min(max(2 * d, 500), max(bars // 2, 1)),
+        "slot_00.window": w, "slot_00.decay": float(np.clip(math.exp(-1 / d), 0.5, 0.9999)), "slot_00.threshold": clipped("proximity", 5, 1e-6, 0.5),
         "slot_01.bucket": max(d // 6, 2), "slot_01.window": 4 * d, "slot_01.decay": math.exp(-1 / (2 * d)),
         "slot_02.window": d, "slot_03.short": max(d // 24, 2), "slot_03.long": max(2 * d, d // 24 + 1), "slot_04.window": max(2 * d, 50),
         "slot_06.window": max(d // 24, 5), "slot_07.window": max(d // 12, 2), "slot_07.lag": max(d // 96, 1),
-        "slot_08.window": max(d, 128), "slot_08.refit": d, "slot_08.states": best_states(np.stack([r, np.nan_to_num(vol)], 1)[-600:]) if vol is not None else 4,
-        "slot_09.threshold": pct(np.abs(imbalance), 85, 0.5, 0.99),
-        "slot_10.body": pct(body / span, 20, 0.05, 0.5), "slot_10.window": d, "slot_10.quantile": float(np.clip(np.percentile(wick, 99) / max(wick.max(), _EPS), 0.9, 0.999)) if len(wick) else 0.99,
-        "slot_11.lookback": d, "slot_11.strength": max(d // 96, 1), "slot_12.coefficient": float(np.clip(corr, 0.3, 0.9)), "slot_12.window": max(d // 24, 5),
+        "slot_08.window": max(d, 128), "slot_08.refit": d, "slot_08.states": f["states"],
+        "slot_09.threshold": clipped("imbalance", 85, 0.5, 0.99),
+        "slot_10.body": clipped("body", 20, 0.05, 0.5), "slot_10.window": d, "slot_10.quantile": float(np.clip(f["wick", 99] / max(f["wick_top"], _EPS), 0.9, 0.999)) if ("wick", 99) in f else 0.99,
+        "slot_11.lookback": d, "slot_11.strength": max(d // 96, 1), "slot_12.coefficient": float(np.clip(abs(f["corr"]) if f["corr"] is not None else 0.65, 0.3, 0.9)), "slot_12.window": max(d // 24, 5),
         "slot_13.window": d, "slot_13.bins": int(np.clip(math.ceil(1 + math.log2(d)), 5, 20)), "slot_14.window": 2 * d,
-        "gate.baseline": base, "gate.low": float(np.clip(np.percentile(rv, 5) / base, 0.1, 1.0)), "gate.high": float(np.clip(np.percentile(rv, 95) / base, 1.0, 10.0)),
-        "pooling.decay": math.exp(-1 / d), "pooling.percentile": float(np.clip(100 * np.mean(rv <= q3 + 1.5 * (q3 - q1)), 50, 98)),
-        "aux.volatility": max(d // 12, 2), "aux.horizon": d, "forward_bars": d, "change_distance": change_distance(r, d), "cycle_ratio": cycle_ratio(r, d),
+        "gate.baseline": base, "gate.low": float(np.clip(f.get(("rv", 5), base) / base, 0.1, 1.0)), "gate.high": float(np.clip(f.get(("rv", 95), base) / base, 1.0, 10.0)),
+        "pooling.decay": math.exp(-1 / d), "pooling.percentile": float(np.clip(100 * f["inside"], 50, 98)),
+        "aux.volatility": max(d // 12, 2), "aux.horizon": d, "forward_bars": d, "change_distance": distance, "cycle_ratio": ratio,
     }
-    out |= {f"slot_05.lag{i}": k for i, k in enumerate(significant_lags(r))}
-    out |= {f"slot_06.span{i}": k for i, k in enumerate(ribbon_spans(r, d))}
+    out |= {f"slot_05.lag{i}": k for i, k in enumerate(significant_lags(a, least))}
+    out |= {f"slot_06.span{i}": k for i, k in enumerate(ribbon_spans(a, bars - 1, d))}
     return {k: float(x) for k, x in out.items()}
 
 

@@ -197,6 +197,38 @@ def test_cycles_and_weights():
     assert sum(w.values()) == pytest.approx(1) and w["a"] > 3 * w["b"]
 
 
+def test_likelihood_in_chunks():
+    rng = np.random.default_rng(10)
+    x = np.stack([rng.normal(0, np.where(np.arange(1501) // 50 % 2, 3.0, 0.3)), np.abs(rng.normal(size=1501))], 1)
+    for k in (2, 5):
+        assert hidden.likelihood(x, k, 8) == pytest.approx(hidden.fit(x[None], k, 8)["like"][0], rel=1e-9)
+
+
+def test_priors_of_all_bars(spark, tmp_path, monkeypatch):
+    from kilnmark.plans import learning
+
+    rng = np.random.default_rng(11)
+    n = 5_000
+    o = 100 * np.exp(np.cumsum(rng.normal(0, np.where(np.arange(n) < 2_900, 0.004, 0.0004))))
+    c = o * np.exp(rng.normal(0, 0.001, n))
+    h, low = np.maximum(o, c) * (1 + rng.random(n) * np.where(np.arange(n) < 2_900, 0.02, 0.001)), np.minimum(o, c) * (1 - rng.random(n) * 0.002)
+    df = pd.DataFrame({"symbol": "A", "interval": "5m", "datetime": pd.date_range("2024-01-01", periods=n, freq="5min"), "open": o, "high": h, "low": low, "close": c, "volume": 1.0, "bar_id": np.arange(n)})
+    df["received_at"] = df["datetime"]
+    df = pd.concat([df, df[:40].assign(symbol="B"), df[:1].assign(symbol="C")])
+    spark.createDataFrame(df).write.parquet(f"{tmp_path}/ohlcv.parquet")
+    monkeypatch.setattr(learning, "WIDE", 1_500)
+    got = learning.m07(spark, str(tmp_path)).toPandas()
+    ratios = learning.m03(spark, str(tmp_path)).toPandas()
+    for s, g in got.groupby("symbol"):
+        k = {"A": n, "B": 40, "C": 1}[s]
+        want = cycles.derive(o[:k], h[:k], low[:k], c[:k], np.ones(k))
+        assert dict(zip(g.prior, g.x, strict=True)) == pytest.approx(want, abs=2e-6), s
+        assert dict(ratios[ratios.symbol == s][["prior", "x"]].values) == pytest.approx({p: want[p] for p in ("change_distance", "cycle_ratio")})
+    tail = cycles.derive(*(z[-2_000:] for z in (o, h, low, c)), np.ones(2_000))
+    a = dict(got[got.symbol == "A"][["prior", "x"]].values)
+    assert len(set(got.symbol)) == 3 and all(abs(a[p] - tail[p]) > 1e-3 for p in ("gate.high", "slot_10.body")) and a["gate.baseline"] > 1.5 * tail["gate.baseline"]
+
+
 def test_config_parser():
     text = """
 # comment
