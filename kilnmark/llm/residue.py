@@ -123,8 +123,8 @@ _STRONG = re.compile("(?:" + "|".join(f"(?:{p})" for p in [*_FILLER, *_ERRORS, *
 _TAIL = re.compile("(?:" + "|".join(f"(?:{p})" for p in _TAILS) + ")")
 _REPEATED = re.compile(r"((?:\S{1,20} ){0,3}?\S{1,20})(?: \1){3,}(?: \S{1,20}){0,3}[.!…]*")
 _DOTS = re.compile(r"[.…_=\-–—*\s]{3,}")
-_TAG = re.compile(r"</?(?:b|p|i|u|em|hr|br|h\d|div|span|strong|center|small|pre|section|article|html|head|body|title|meta|noscript|font|main|header|footer)\b[^>]*>")
-_ERROR_PAGE = re.compile(r"\s*(?:<!doctype[^>]*>\s*)?<html.*<title>\s*(?:error\s*)?[45]\d\d\b.*</html>\s*", re.S)
+_TAG = re.compile(r"</?(?:b|p|i|u|em|hr|br|h\d|div|span|strong|center|small|pre|section|article|html|head|body|title|meta|noscript|font|main|header|footer)\b[^>]*>|<!doctype[^>]*>|<\?xml[^>]*>|<!--(?:(?!-->).)*-->")
+_ERROR_PAGE = re.compile(r"\s*(?:(?:<!doctype[^>]*>|<\?xml[^>]*>|<!--(?:(?!-->).)*-->)\s*)*<html.*<title>\s*(?:error\s*)?[45]\d\d\b.*</html>\s*", re.S)
 _NOSCRIPT = re.compile(r"\s*<noscript>.{1,400}</noscript>\s*", re.S)
 _ERROR_JSON = re.compile(r"""\{\s*["'](?:status|code|error|statuscode|status_code)["']\s*:\s*(?:["']?[45]\d\d["']?|\{|["'])[^{}]{0,300}\}?\s*\}""")
 _ANSI = re.compile(r"\x1b\[[0-9;]*m")
@@ -184,16 +184,16 @@ def is_residue(cell: str) -> bool:
     if not cell or cell.isspace():
         return False
     text = _ANSI.sub("", cell).replace("\xa0", " ").casefold()
-    if text.lstrip()[:1] in "<!>*#-[0123456789|+" and "<" in text[:40]:
-        text = _NOSCRIPT.sub("\nthis page requires scripts\n", text) if "<noscript" in text else text
-        if "<html" in text[:60] and _ERROR_PAGE.fullmatch(_MARK.sub("", text.strip())):
-            return True
+    if "<noscript" in text and text.lstrip()[:1] in "<!>*#-[0123456789|+" and "<" in text[:40]:
+        text = _NOSCRIPT.sub("\nthis page requires scripts\n", text)
+    if "<html" in text and _ERROR_PAGE.fullmatch(_MARK.sub("", text.strip())):
+        return True
     strong = False
     for line in text.split("\n"):
         if not line.strip():
             continue
         line = _MARK.sub("", line.strip())
-        if "{" in line[:24] and _ERROR_JSON.fullmatch(_BRACKETED.sub("", _TAG.sub(" ", line)).strip(" .!")):
+        if "{" in line and _ERROR_JSON.fullmatch(_BRACKETED.sub("", _TAG.sub(" ", line)).strip(" .!")):
             strong = True
             continue
         if "<html" in line and _ERROR_PAGE.fullmatch(line.strip(" .!")):

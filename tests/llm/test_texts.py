@@ -154,3 +154,12 @@ def test_cells_of_all_layouts(spark):
     got = sorted(r["doc_id"] for r in residue.residue(d).collect())
     assert got == sorted([1] + [r[0] for r in rows if r[3]])
     assert residue.residue(d.limit(0)).count() == 0
+
+
+def test_error_pages_behind_long_heads():
+    page = "<html xmlns=\"http://www.w3.org/1999/xhtml\">\n<head>\n<title>404 - File or directory not found.</title>\n</head>\n<body>\n<h3>The resource might have been removed.</h3>\n</body>\n</html>"
+    xhtml = '<!DOCTYPE html PUBLIC "-//W3C//DTD XHTML 1.0 Strict//EN" "http://www.w3.org/TR/xhtml1/DTD/xhtml1-strict.dtd">'
+    for head in (xhtml, '<?xml version="1.0" encoding="UTF-8"?>\n' + xhtml, "<!-- a proxy\n wrote this -->\n" + xhtml, "\n" * 70):
+        assert residue.is_residue(head + "\n" + page)
+        assert not residue.is_residue(head + "\n" + page.replace("404 - File or directory not found.", "How to bake bread"))
+    assert not residue.is_residue("Our server sent this page today, and the plan is to look into it.\n" + page)
