@@ -2,8 +2,10 @@
 
 A notebook's text is cut into its prose, code and output cells by the layout it is stored in. A prose or output cell is
 residue if every line of it is: unfilled placeholders (a grammar for each delimiter, with nothing but template words
-around them), filler text, an error notice or page, or a notice that scripts are needed. Code is never judged, and a
-cell with a sentence of other content isn't residue, so tutorials that quote such strings and error traces pass.
+around them), filler text, an error notice or page, or a notice that scripts are needed. Context and density discount
+the rest: code cells and fenced blocks are never judged, a cell with a sentence of other content isn't residue, so
+tutorials that quote such strings and error traces pass, and what a notice leaves open may be at most a multiple of its
+fixed words. No length of a cell, line or sentence decides anything.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ _DELIMITED = [
     rf"<<\s*{_FIELD}\s*>>",
     rf"(?<!\w)__[a-z][a-z0-9]*(?:[ _-][a-z0-9]+)*__(?!\w)",
     rf"[\[<]\s*(?:your|insert|enter|add)\s+{_FIELD}\s*[\]>]",
-    r"(?<!\w)todo\s*:\s*(?:describe|add|write|insert|fill in|replace|complete|explain)\s+[\w ]{1,40}",
+    r"(?<!\w)todo\s*:\s*(?:describe|add|write|insert|fill in|replace|complete|explain)\s+[\w ]+",
 ]
 PLACEHOLDER = re.compile("|".join(_DELIMITED))
 # Words that template lines have around their placeholders.
@@ -72,18 +74,18 @@ _ACT = r"(?:load|open|find|render|fetch|display|show|reach|serve|process|complet
 _ERRORS = [
     rf"{_SERVICE} {_FAILS} {_ACT}(?: (?:the|this|that|your|our|a|an|any)(?: \w+){{0,3}} {_THING})?",
     rf"(?:the|this|that|your|a) (?:\w+ )?{_THING} (?:you (?:requested|asked for|are looking for|were looking for|wanted) )?(?:could not|cannot|can['’]t) {_ACT}",
-    rf"{_SERVICE} (?:has )?(?:lost (?:the |its )?connection(?: to [\w ]{{1,40}})?|ran out of time(?: [\w ]{{1,50}})?|timed out(?: [\w ]{{1,40}})?|took too long(?: to [\w ]{{1,40}})?|did not respond(?: in time)?|(?:is|was) (?:currently |temporarily )?(?:unavailable|overloaded|offline|down(?: for maintenance)?|not available|not responding))",
+    rf"{_SERVICE} (?:has )?(?:lost (?:the |its )?connection(?: to ([\w ]+))?|ran out of time(?: ([\w ]+))?|timed out(?: ([\w ]+))?|took too long(?: to ([\w ]+))?|did not respond(?: in time)?|(?:is|was) (?:currently |temporarily )?(?:unavailable|overloaded|offline|down(?: for maintenance)?|not available|not responding))",
     r"(?:the |this |your )?(?:\w+ )?(?:page|file|document|url|address|notebook)(?: you requested)? (?:was not found|is not found|not found|does not exist|no longer exists|has been (?:moved|removed|deleted)|has moved)",
     r"(?:this|the|that) (?:\w+ )?(?:file|notebook|document|output|page|image|cell) is too (?:big|large|long) to (?:display|show|preview|render|be displayed|be shown)",
-    r"(?:access|permission|authori[sz]ation) (?:is |was )?(?:denied|forbidden|required)(?: to [\w ]{1,40})?",
-    r"you (?:do not|don['’]t) have (?:the )?permissions? (?:to [\w ]{1,50}|for [\w ]{1,40})",
+    r"(?:access|permission|authori[sz]ation) (?:is |was )?(?:denied|forbidden|required)(?: to ([\w ]+))?",
+    r"you (?:do not|don['’]t) have (?:the )?permissions? (?:to ([\w ]+)|for ([\w ]+))",
     r"your (?:session|login|token|access|link) (?:has |is )?(?:expired|ended|timed out)",
-    r"(?:we(?:['’]re| are) )?(?:sorry|oops|whoops|uh oh)(?:[,!: ]+(?:but )?(?:something went wrong|an (?:unexpected )?error (?:has )?occurred|there was (?:a|an) (?:\w+ )?(?:problem|error)|this page [\w ]{1,40}|we [\w' ]{1,60}))?",
-    r"something went wrong|an (?:unexpected |internal |unknown )?error (?:has )?occurred|there was (?:a|an) (?:\w+ )?(?:problem|error)(?: [\w ]{1,40})?",
+    r"(?:we(?:['’]re| are) )?(?:sorry|oops|whoops|uh oh)(?:[,!: ]+(?:but )?(?:something went wrong|an (?:unexpected )?error (?:has )?occurred|there was (?:a|an) (?:\w+ )?(?:problem|error)|this page ([\w ]+)|we ([\w' ]+)))?",
+    r"something went wrong|an (?:unexpected |internal |unknown )?error (?:has )?occurred|there was (?:a|an) (?:\w+ )?(?:problem|error)(?: ([\w ]+))?",
     r"(?:(?:http )?(?:error|status)(?: code)?:? )?[45]\d\d:?(?: -)? (?:error|not found|forbidden|unauthorized|bad request|bad gateway|internal server error|service unavailable|gateway time-?out|too many requests|gone|request timeout|payload too large)",
     r"(?:page |file )?not found|internal server error|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|too many requests|bad request|forbidden|unauthorized|request timed out|connection (?:refused|reset|timed out|closed)",
     r"upstream connect error(?: or disconnect before headers)?",
-    r"seite (?:wurde )?nicht gefunden|die (?:angeforderte |gewünschte )?seite (?:existiert nicht(?: mehr)?|wurde nicht gefunden|konnte nicht [\w ]{1,30})|zugriff verweigert|es ist ein (?:\w+ )?fehler aufgetreten|interner serverfehler|ihre sitzung ist abgelaufen",
+    r"seite (?:wurde )?nicht gefunden|die (?:angeforderte |gewünschte )?seite (?:existiert nicht(?: mehr)?|wurde nicht gefunden|konnte nicht ([\w ]+))|zugriff verweigert|es ist ein (?:\w+ )?fehler aufgetreten|interner serverfehler|ihre sitzung ist abgelaufen",
     r"(?:erreur ?: ?)?(?:cette|la) page (?:demandée )?(?:n['’]existe (?:pas|plus)(?: ou plus)?|est introuvable|n['’]a pas été trouvée)|page (?:introuvable|non trouvée)|accès (?:refusé|interdit)|une erreur (?:est survenue|s['’]est produite)|votre session a expiré",
     r"(?:error ?: ?)?(?:esta |la )?página (?:solicitada )?(?:no (?:encontrada|existe(?: más)?|se encontró|se ha encontrado|disponible)|não (?:encontrada|existe))|acceso denegado|acesso negado|(?:se ha producido|ha ocurrido|ocurrió|ocorreu) um?n? error?|su sesión ha (?:caducado|expirado)|pagina non trovata",
 ]
@@ -92,44 +94,45 @@ _ERRORS = [
 
 _SCRIPT = r"(?:java ?scripts?|js|scripts?|scripting|client-side (?:scripts?|scripting|code)|active scripting|active content)"
 _NOTICES = [
-    rf"(?:please )?(?:turn on|enable|activate|switch on|allow) {_SCRIPT}(?: [\w ,'’-]{{1,70}})?",
-    rf"you (?:need|have|must|will need|should)(?: to)? (?:enable|turn on|activate|allow|have|switch on) {_SCRIPT}(?: [\w ,'’-]{{1,70}})?",
+    rf"(?:please )?(?:turn on|enable|activate|switch on|allow) {_SCRIPT}(?: ([\w ,'’-]+))?",
+    rf"you (?:need|have|must|will need|should)(?: to)? (?:enable|turn on|activate|allow|have|switch on) {_SCRIPT}(?: ([\w ,'’-]+))?",
     rf"(?:[\w'’-]+ ){{1,4}}(?:does|do|will|can|may)(?: not|n['’]t) (?:work|run|load|open|be shown|be displayed|function|display)(?: \w+)? without {_SCRIPT}(?: (?:enabled|support|turned on|switched on))?",
-    rf"(?:[\w'’-]+ ){{1,4}}(?:requires?|needs?) {_SCRIPT}(?: (?:to [\w ]{{1,50}}|enabled|support))?",
+    rf"(?:[\w'’-]+ ){{1,4}}(?:requires?|needs?) {_SCRIPT}(?: (?:to ([\w ]+)|enabled|support))?",
     rf"(?:it (?:looks|seems|appears) (?:like|that) )?(?:your browser|you) (?:has|have|is|blocks?|does not support|doesn['’]t support|is blocking)(?: got)? ?{_SCRIPT}?(?: (?:switched|turned) off| disabled| blocked)?[;,:]? ?(?:(?:[\w'’-]+ ){{1,5}}(?:cannot|can['’]t|could not|will not) (?:be )?(?:\w+))?",
-    rf"{_SCRIPT} (?:is|are|must be|has been|needs to be) (?:required|disabled|turned off|switched off|needed|not enabled|enabled|blocked)(?: [\w ,'’-]{{1,70}})?",
-    rf"if (?:nothing happens|this does not load|nothing appears|the page does not load|[\w ]{{3,30}}),? (?:please )?(?:allow|enable|turn on|activate) {_SCRIPT}(?: [\w ,'’-]{{1,70}})?",
-    rf"bitte (?:aktivieren sie )?{_SCRIPT}(?: in ihrem browser)?(?: aktivieren| einschalten| erlauben)?(?:,? um [\w ]{{1,50}})?|{_SCRIPT} (?:ist|wird) (?:deaktiviert|benötigt|erforderlich)(?: [\w ]{{1,50}})?|diese \w+ benötigt {_SCRIPT}",
-    rf"(?:se requiere|necesita|es necesario(?: activar)?|active|habilite|debe (?:activar|habilitar)|por favor,? (?:active|habilite)) {_SCRIPT}(?: [\w ]{{1,60}})?",
-    rf"(?:veuillez activer|merci d['’]activer|vous devez activer|il faut activer|activez) {_SCRIPT}(?: [\w'’ ]{{1,60}})?|{_SCRIPT} est (?:requis|nécessaire|désactivé)(?: [\w'’ ]{{1,60}})?",
-    rf"(?:ative|habilite|é necessário(?: ativar)?|por favor,? (?:ative|habilite)|abilita|è necessario abilitare) {_SCRIPT}(?: [\w ]{{1,60}})?",
+    rf"{_SCRIPT} (?:is|are|must be|has been|needs to be) (?:required|disabled|turned off|switched off|needed|not enabled|enabled|blocked)(?: ([\w ,'’-]+))?",
+    rf"if (?:nothing happens|this does not load|nothing appears|the page does not load|([\w ]+)),? (?:please )?(?:allow|enable|turn on|activate) {_SCRIPT}(?: ([\w ,'’-]+))?",
+    rf"bitte (?:aktivieren sie )?{_SCRIPT}(?: in ihrem browser)?(?: aktivieren| einschalten| erlauben)?(?:,? um ([\w ]+))?|{_SCRIPT} (?:ist|wird) (?:deaktiviert|benötigt|erforderlich)(?: ([\w ]+))?|diese \w+ benötigt {_SCRIPT}",
+    rf"(?:se requiere|necesita|es necesario(?: activar)?|active|habilite|debe (?:activar|habilitar)|por favor,? (?:active|habilite)) {_SCRIPT}(?: ([\w ]+))?",
+    rf"(?:veuillez activer|merci d['’]activer|vous devez activer|il faut activer|activez) {_SCRIPT}(?: ([\w'’ ]+))?|{_SCRIPT} est (?:requis|nécessaire|désactivé)(?: ([\w'’ ]+))?",
+    rf"(?:ative|habilite|é necessário(?: ativar)?|por favor,? (?:ative|habilite)|abilita|è necessario abilitare) {_SCRIPT}(?: ([\w ]+))?",
 ]
 
 # ---- What may follow such notices ------------------------------------------------------------------------------
 
 _TAILS = [
     r"(?:please )?(?:try|retry)(?: it)?(?: again)?(?: later| in \d+ \w+| shortly| soon)?|retry (?:in|after) \d+ \w+",
-    r"(?:please )?(?:go|click) back(?: to [\w ]{1,30})?|(?:please )?return to [\w ]{1,30}|zurück zur \w+|retour à l['’ ]?\w+|volver al? \w+(?: \w+)?",
-    r"(?:please )?contact (?:the |our |your )?[\w ]{1,30}",
-    r"(?:please )?(?:reload|refresh)(?: (?:the|this) page)?|please wait|loading(?: [\w ]{1,40})?|redirecting(?: [\w ]{1,40})?",
-    r"(?:please )?(?:sign|log) in(?: again)?(?: to [\w ]{1,30})?",
-    r"(?:error |status )?(?:code|reference|ref|trace|id|request(?: id)?|incident|ray id)[ :#]*[\w-]{1,40}|reset reason ?:? ?[\w ]{1,40}",
+    r"(?:please )?(?:go|click) back(?: to ([\w ]+))?|(?:please )?return to ([\w ]+)|zurück zur \w+|retour à l['’ ]?\w+|volver al? \w+(?: \w+)?",
+    r"(?:please )?contact (?:the |our |your )?([\w ]+)",
+    r"(?:please )?(?:reload|refresh)(?: (?:the|this) page)?|please wait|loading(?: ([\w ]+))?|redirecting(?: ([\w ]+))?",
+    r"(?:please )?(?:sign|log) in(?: again)?(?: to ([\w ]+))?",
+    r"(?:error |status )?(?:code|reference|ref|trace|id|request(?: id)?|incident|ray id)[ :#]*[\w-]+|reset reason ?:? ?([\w ]+)",
     r"click to edit|add a caption|edit me|read more|learn more",
-    r"thank you|thanks(?: for your patience)?|we apologi[sz]e(?: for [\w ]{1,40})?",
+    r"thank you|thanks(?: for your patience)?|we apologi[sz]e(?: for ([\w ]+))?",
     r"(?:gateway|nginx|apache|cloudflare|server|proxy)(?:/[\d.]+)?",
 ]
 
 _STRONG = re.compile("(?:" + "|".join(f"(?:{p})" for p in [*_FILLER, *_ERRORS, *_NOTICES]) + ")")
 _TAIL = re.compile("(?:" + "|".join(f"(?:{p})" for p in _TAILS) + ")")
-_REPEATED = re.compile(r"((?:\S{1,20} ){0,3}?\S{1,20})(?: \1){3,}(?: \S{1,20}){0,3}[.!…]*")
 _DOTS = re.compile(r"[.…_=\-–—*\s]{3,}")
 _TAG = re.compile(r"</?(?:b|p|i|u|em|hr|br|h\d|div|span|strong|center|small|pre|section|article|html|head|body|title|meta|noscript|font|main|header|footer)\b[^>]*>|<!doctype[^>]*>|<\?xml[^>]*>|<!--(?:(?!-->).)*-->")
 _ERROR_PAGE = re.compile(r"\s*(?:(?:<!doctype[^>]*>|<\?xml[^>]*>|<!--(?:(?!-->).)*-->)\s*)*<html.*<title>\s*(?:error\s*)?[45]\d\d\b.*</html>\s*", re.S)
-_NOSCRIPT = re.compile(r"\s*<noscript>.{1,400}</noscript>\s*", re.S)
-_ERROR_JSON = re.compile(r"""\{\s*["'](?:status|code|error|statuscode|status_code)["']\s*:\s*(?:["']?[45]\d\d["']?|\{|["'])[^{}]{0,300}\}?\s*\}""")
+_NOSCRIPT = re.compile(r"<noscript[^>]*>(?:(?!</noscript>).)*</noscript>", re.S)
+_FENCE = re.compile(r"^(```|~~~).*?(?:^\1[ \t]*$|\Z)", re.M | re.S)
+_ERROR_JSON = re.compile(r"""\{\s*["'](?:status|code|error|statuscode|status_code)["']\s*:\s*(?:["']?[45]\d\d["']?|\{|["'])[^{}]*\}?\s*\}""")
+SPARSE = 4  # words that a notice may leave open, as a multiple of its fixed words
 _ANSI = re.compile(r"\x1b\[[0-9;]*m")
 _MARK = re.compile(r"^(?:(?:[#>*+!|-]+|\d+[.)]|\[(?:notice|info|warning|error|note|warn)\]|(?:notice|info|warning|note):)\s+)+")
-_BRACKETED = re.compile(r"\s*\((?:(?:code|ref|error|id|trace|reference|status)?[ :#]*[\w-]{1,24})\)")
+_BRACKETED = re.compile(r"\s*\((?:(?:code|ref|error|id|trace|reference|status)?[ :#]*[\w-]+)\)")
 _SMILE = re.compile(r"\s*(?:[:;]-?[()/|]|☹️?|🙁|😞)\s*$")
 _SENTENCE = re.compile(r"[.!?…]+(?:\s+|$)|\s*[|]\s*|\n")
 
@@ -138,6 +141,20 @@ def _squeezed(line: str) -> str:
     return " ".join(line.split())
 
 
+def repeated(line: str) -> bool:
+    """Whether a line is one unit of up to four words at least four times over; the last one may be cut short."""
+    words = line.rstrip(".!…").split()
+    return any(len(words) >= 4 * k and words[k:] == words[:-k] for k in range(1, 5))
+
+
+def _dense(m: re.Match | None) -> bool:
+    """Whether what a notice leaves open is at most SPARSE times its fixed words: a density that holds at any length."""
+    if m is None:
+        return False
+    free = sum(len(g.split()) for g in m.groups() if g)
+    return free <= SPARSE * (len(m.group().split()) - free)
+
+
 def line_kind(line: str) -> int:
     """2: residue by itself, 1: may stand beside residue, 0: other content. line: in small letters, without tags."""
     s = _squeezed(line)
@@ -145,14 +162,11 @@ def line_kind(line: str) -> int:
         return 1
     bare = PLACEHOLDER.sub("\0", s)
     if "\0" in bare:
-        words = _WORD.findall(bare)
-        if all(w in GLUE for w in words) or len(words) <= 4 and all(w in GLUE or w in FIELDS for w in words):
-            return 2
-        return 0
+        return 2 if all(w in GLUE or w in FIELDS for w in _WORD.findall(_BRACKETED.sub("", bare))) else 0
     if _DOTS.fullmatch(s):
         return 1
     s = _SMILE.sub("", _BRACKETED.sub("", s)).strip()
-    if _REPEATED.fullmatch(s):
+    if repeated(s):
         return 2
     words = _WORD.findall(s)
     if not words:
@@ -166,11 +180,9 @@ def line_kind(line: str) -> int:
         part = part.strip(" .,:;!?…*_\"'`()-")
         if not part:
             continue
-        if len(part) > 200:
-            return 0
-        if _STRONG.fullmatch(part):
+        if _dense(_STRONG.fullmatch(part)):
             best = 2
-        elif not _TAIL.fullmatch(part):
+        elif not _dense(_TAIL.fullmatch(part)):
             words = _WORD.findall(part)
             if len(words) >= 4 and all(w in LATIN for w in words):
                 best = 2
@@ -180,12 +192,15 @@ def line_kind(line: str) -> int:
 
 
 def is_residue(cell: str) -> bool:
-    """Whether a cell's text is nothing but residue. Empty and blank cells aren't."""
+    """Whether a cell's text is nothing but residue. Empty and blank cells aren't, nor cells with a fenced block: what
+    stands there is shown as code, as tutorials do."""
     if not cell or cell.isspace():
         return False
     text = _ANSI.sub("", cell).replace("\xa0", " ").casefold()
-    if "<noscript" in text and text.lstrip()[:1] in "<!>*#-[0123456789|+" and "<" in text[:40]:
-        text = _NOSCRIPT.sub("\nthis page requires scripts\n", text)
+    if _FENCE.search(text):
+        return False
+    if "<noscript" in text:
+        text = _NOSCRIPT.sub(" | this page requires scripts | ", text)
     if "<html" in text and _ERROR_PAGE.fullmatch(_MARK.sub("", text.strip())):
         return True
     strong = False
@@ -242,8 +257,12 @@ def _json_cells(text: str) -> list[str] | None:
     return out
 
 
+_LEADER = re.compile(r"#+=? ?")
+
+
 def _script_cells(text: str) -> list[str]:
-    """Percent script: marked prose with '# ' before each line, '#> ' before lines of output, the rest code."""
+    """Percent script: marked prose with '# ' (or '#= ') before each line, '#> ' before lines of output, the rest code.
+    A line that isn't commented out ends the prose."""
     out: list[str] = []
     prose: list[str] | None = None
     output: list[str] = []
@@ -257,8 +276,11 @@ def _script_cells(text: str) -> list[str]:
             prose = [] if "[markdown]" in line or "[raw]" in line else None
         elif line.startswith("#>"):
             output.append(line[3:] if line.startswith("#> ") else line[2:])
+        elif prose is not None and (line.startswith("#") or not line.strip()):
+            prose.append(_LEADER.sub("", line))
         elif prose is not None:
-            prose.append(line[2:] if line.startswith("# ") else line.lstrip("#"))
+            out.append("\n".join(prose))
+            prose = None
     return out
 
 

@@ -137,6 +137,8 @@ def test_cells_of_all_layouts(spark):
         (5, f"# %% [markdown]\n# {good}\n\n# %% [1]\nf(x)\n\n#> {bad}\n", "script", 1),
         (6, f"# %% [markdown]\n# {good}\n\n# %% [1]\n# {bad}\nf(x)\n", "script", 0),
         (7, f"{bad}\n\n{good}", "script", 0),
+        (20, f"# %% [markdown]\n#= {bad}\n#= \n\n# %%\n# {good}\n", "script", 1),
+        (21, f"# %% [markdown]\n# {bad}\n\n{good}\n", "script", 1),
         (8, f"{good}\n\nIn [1]:\n{{{{ name }}}}\n\nOut[1]:\n{bad}", "transcript", 1),
         (9, f"{good}\n\nIn [1]:\n{{{{ name }}}}\n\nOut[1]:\n3", "transcript", 0),
         (10, f"{good}\n\n```python\n{bad}\n```\n", "markdown", 0),
@@ -163,3 +165,22 @@ def test_error_pages_behind_long_heads():
         assert residue.is_residue(head + "\n" + page)
         assert not residue.is_residue(head + "\n" + page.replace("404 - File or directory not found.", "How to bake bread"))
     assert not residue.is_residue("Our server sent this page today, and the plan is to look into it.\n" + page)
+
+
+def test_length_decides_nothing():
+    """What is residue in a short cell is residue in a long one, and the other way round."""
+    sentence = "please enable javascript in your browser to see this widget and all of its parts. "
+    for n in (1, 3, 8, 400):
+        assert residue.is_residue("<noscript>" + sentence * n + "</noscript>")
+        assert residue.is_residue("The server could not load your document. " + "Lorem ipsum dolor sit amet " * n)
+        assert residue.is_residue('{"error": 503, "message": "' + "x " * 100 * n + '"}')
+        assert residue.is_residue("word " * 4 * n)
+        assert not residue.is_residue("Access denied to " + "the many tables that we describe below " * (4 * n))
+        assert not residue.is_residue("We measured " + "rain and wind " * n + "where the server could not load.")
+
+
+def test_marks_around_residue():
+    for t in ("[notice] <noscript>This viewer requires scripts.</noscript>", "Dear {{ name }}, welcome to ${org} (1)", "Dear   dataset path  , welcome to [YOUR ORG].", "[[ a ]] | [YOUR DUE_DATE] (ref 7f)"):
+        assert residue.is_residue(t)
+    # a fenced block shows its text as code
+    assert not residue.is_residue("```\n{{ name }}\n```") and not residue.is_residue("Dear {{ name }}\n\n~~~jinja\n{{ x }}")
