@@ -1,9 +1,11 @@
 """Problem 9: mixing sources to target weights, by temperature.
 
-Token shares of the sources are bent towards their targets by an exponent, which is bisected to the largest value that
-keeps every source within its repetition limit; sources that cannot reach their target even so are used to the limit
-and reported. The resulting token budgets are met by whole passes over a source and a last part of a pass, taken as a
-prefix of a random permutation of its blocks.
+The token share of every source is raised to an exponent. A common one, bisected to the entropy of the target shares,
+is where each source's own bisection starts: it ends at the smallest exponent whose weight is neither above the
+source's target nor above what its repetition limit allows. What limited sources leave open raises the targets of the
+others, until no further source meets its limit. The normalised weights become token budgets, which are met by whole
+passes over a source and a last part of a pass, taken as a prefix of a random permutation of its blocks. A source is
+short if the mix as realised has used it up and still holds less of it than its target.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that cuts text before this public vocabulary's merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_DOCS = 1_000  # documents in a block of the permutation
+NEAR = 1e-9  # relative distance at which a bisected budget counts as at its limit
 
 
 def load_tokenizer(path: str) -> tiktoken.Encoding:
@@ -69,67 +72,84 @@ def exponent_for_entropy(shares: dict[str, float], wanted: float) -> float:
     return (low + high) / 2
 
 
+def bounded_exponent(share: float, bound: float, start: float = 1.0) -> float:
+    """The smallest exponent at which share ** exponent is at most bound; share lies between 0 and 1, bound above 0."""
+    low, high = 0.0, max(start, 1e-9)
+    if 1.0 <= bound:
+        return 0.0
+    while share**high > bound:
+        low, high = high, high * 2
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if share**mid > bound else (low, mid)
+    return high
+
+
 def plan(sizes: dict[str, int], targets: dict[str, float], repeats: dict[str, int], total: int) -> list[dict]:
-    """Token budgets of the sources: one dict a target source.
+    """Token budgets of the sources: one dict a target source, with its exponent and the common one.
 
-    A source is short if its tokens times its repeats are less than its target share of `total`; it is used to its
-    limit. What is then left is shared among the others by weights target * (size share / target) ** (1 - exponent):
-    the targets at exponent 1, the natural sizes at 0. The exponent is bisected to the largest at which all stay
-    within their limits; a source that doesn't even at 0 is used to its limit as well and the rest is shared anew."""
+    The mix is as large as the targets' share of `total`, or as the repetition limits allow. Sources without tokens or
+    target get budget 0 and no exponent. Exact to one part in 1e9, a budget that near to its limit being the limit."""
     limit = {s: sizes.get(s, 0) * repeats[s] for s in targets}
-    short = {s for s in targets if limit[s] < targets[s] * total}
-    full = set(short)
-    exponent = 1.0
+    live = [s for s in targets if limit[s] > 0 and targets[s] > 0]
+    shares = {s: sizes[s] / (total + 1) for s in live}
+    scale = sum(targets.values()) or 1.0
+    wanted = entropy({s: t / scale for s, t in targets.items() if t > 0})
+    common = exponent_for_entropy(bent(shares, 1.0), wanted)
+    full: set[str] = set()
+    weights, exponents = {}, {}
     while True:
-        free = [s for s in targets if s not in full and sizes.get(s, 0) and targets[s] > 0]
-        left = total * sum(targets.values()) - sum(limit[s] for s in full)
-        have = sum(sizes[s] for s in free) or 1
+        free = [s for s in live if s not in full]
+        open_ = sum(targets[s] for s in targets) - sum(limit[s] / total for s in full)
+        level = open_ / (sum(targets[s] for s in free) or 1.0)
+        exponents = {s: bounded_exponent(shares[s], min(limit[s] / total, level * targets[s] if s in free else math.inf), common) for s in live}
+        weights = {s: shares[s] ** exponents[s] for s in live}
+        met = {s for s in free if weights[s] * total > limit[s] * (1 - NEAR)}
+        if not met:
+            break
+        full |= met
+    norm = sum(weights.values()) or 1.0
+    size = norm * total
 
-        def budgets(e: float) -> dict[str, float]:
-            w = {s: targets[s] * (sizes[s] / have / targets[s]) ** (1 - e) for s in free}
-            return {s: left * x / (sum(w.values()) or 1) for s, x in w.items()}
+    def budget(s: str) -> int:
+        x = size * weights.get(s, 0.0) / norm
+        return limit[s] if x > limit[s] * (1 - NEAR) else int(x)
 
-        fits = lambda e: all(x <= limit[s] for s, x in budgets(e).items())
-        if not free or fits(1.0):
-            exponent = 1.0
-            break
-        over = [s for s, x in budgets(0.0).items() if x > limit[s]]
-        if over:
-            full |= set(over)
-            continue
-        low, high = 0.0, 1.0
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (mid, high) if fits(mid) else (low, mid)
-        exponent = low
-        break
-    got = budgets(exponent)
-    return [{"source": s, "target_share": targets[s], "max_repeats": repeats[s], "tokens": sizes.get(s, 0), "budget": int(limit[s] if s in full else got.get(s, 0.0)), "short": s in short, "exponent": exponent} for s in targets]
-
-
-PLAN = "source string, target_share double, max_repeats int, tokens long, budget long, short boolean, exponent double"
-
-
-def mix_plan(counts: DataFrame, targets: DataFrame) -> DataFrame:
-    """The plan of every target source, from token counts (see token_counts). Only sums per target source reach the
-    driver: as many rows as `targets` has. Sources of targets count once, the smaller name's row first."""
-    want = targets.select(source_key().alias("source"), "target_share", "max_repeats").filter("source is not null and target_share is not null").dropDuplicates(["source"])
+    return [{"source": s, "target_share": targets[s], "max_repeats": repeats[s], "tokens": sizes.get(s, 0), "budget": budget(s), "exponent": exponents.get(s), "common": common} for s in targets]
+
+
+PLAN = "source string, target_share double, max_repeats int, tokens long, budget long, exponent double, common double"
+
+
+def mix_plan(counts: DataFrame, targets: DataFrame) -> tuple[DataFrame, int]:
+    """The plan of every target source, from token counts (see token_counts), and the tokens of all documents.
+
+    Only sums per target source reach the driver: as many rows as `targets` has. Target rows without a source or a
+    finite target above 0 are left out, a null max_repeats is 1, one below 0 is 0; of rows that name the same source
+    the one spelled smallest counts, then the smallest target and limit."""
+    t = F.col("target_share")
+    want = targets.select("source", source_key().alias("k"), t.cast("double").alias("t"), F.greatest(F.coalesce(F.col("max_repeats"), F.lit(1)), F.lit(0)).cast("int").alias("r"))
+    want = want.filter(F.col("k").isNotNull() & (F.col("t") > 0) & ~F.isnan("t") & (F.col("t") != float("inf")))
+    want = want.groupBy(F.col("k").alias("source")).agg(F.min(F.struct("source", "t", "r")).alias("w")).select("source", "w.t", "w.r")
     by = cut(counts.groupBy("source").agg(F.sum("tokens").alias("tokens")))
     total = by.agg(F.sum("tokens")).first()[0] or 0
-    rows = want.join(by, "source", "left").select("source", "target_share", F.coalesce("max_repeats", F.lit(1)).alias("r"), F.coalesce("tokens", F.lit(0)).alias("tokens")).collect()
-    made = plan({r["source"]: r["tokens"] for r in rows}, {r["source"]: r["target_share"] for r in rows}, {r["source"]: r["r"] for r in rows}, total)
-    return counts.sparkSession.createDataFrame([tuple(x[k] for k in ("source", "target_share", "max_repeats", "tokens", "budget", "short", "exponent")) for x in sorted(made, key=lambda x: x["source"])], PLAN)
+    rows = want.join(by, "source", "left").select("source", "t", "r", F.coalesce("tokens", F.lit(0)).alias("tokens")).collect()
+    made = plan({r["source"]: r["tokens"] for r in rows}, {r["source"]: r["t"] for r in rows}, {r["source"]: r["r"] for r in rows}, total)
+    names = [c.split()[0] for c in PLAN.split(", ")]
+    return counts.sparkSession.createDataFrame([tuple(x[k] for k in names) for x in sorted(made, key=lambda x: x["source"])], PLAN), total
 
 
 def mixed(documents: DataFrame, targets: DataFrame, seed: int = 7, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """The mix (doc_id, source, tokens, times) and its report.
 
     times: how often a document is used, at most max_repeats of its source; documents that aren't used don't come out.
-    The report has, per target source, plan and outcome: used tokens and reached share of the mix. Documents of a null
-    or untargeted source are not used but count in the total size that target shares refer to. Null and empty texts
-    have size 0 and ride along with their block. Needs doc_id unique; an empty corpus gives an empty mix."""
+    The report has, per target source, plan and outcome: used tokens, reached share of the mix, and whether it is short:
+    every document with tokens is used as often as allowed, and yet less than the target share of the corpus came
+    together. Documents of a null or untargeted source are not used but count in the total size that target shares
+    refer to. Null and empty texts have size 0 and ride along with their block. Needs doc_id unique; an empty corpus
+    gives an empty mix, of which nothing is short."""
     counts = stored(token_counts(documents, vocabulary), "tokens")
-    todo = mix_plan(counts, targets)
+    todo, total = mix_plan(counts, targets)
     sizes = counts.groupBy("source").agg(F.count("*").alias("docs"))
     p = todo.join(sizes, "source").filter("tokens > 0").select("source", F.expr("budget div tokens").alias("passes"), F.expr("budget % tokens").alias("rest"), F.ceil(F.col("docs") / BLOCK_DOCS).alias("blocks"))
     placed = counts.join(F.broadcast(p), "source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")))
@@ -143,13 +163,15 @@ def mixed(documents: DataFrame, targets: DataFrame, seed: int = 7, vocabulary: s
     whole = placed.filter(~edge).withColumn("more", F.col("left") >= F.col("size"))
     mix = whole.unionByName(split).withColumn("times", (F.col("passes") + F.col("more").cast("int")).cast("int")).filter("times > 0").select("doc_id", "source", "tokens", "times")
     used = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("times")).alias("used"))
-    report = todo.join(used, "source", "left").withColumn("used", F.coalesce("used", F.lit(0)))
+    report = todo.join(F.broadcast(used), "source", "left").withColumn("used", F.coalesce("used", F.lit(0)))
+    used_up = F.col("used") >= F.col("tokens") * F.col("max_repeats")
+    report = report.withColumn("short", used_up & (F.col("used") < F.col("target_share") * F.lit(total)))
     report = report.withColumn("reached_share", F.col("used") / F.sum("used").over(Window.partitionBy(F.lit(1))))
     return mix, report
 
 
 def short_sources(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """source, as targets spell it, of those that fall short of their target."""
-    made = mix_plan(token_counts(documents, vocabulary), targets)
+    """source, as targets spell it, of those that the realised mix (see mixed) leaves short of their target."""
+    report = mixed(documents, targets, vocabulary=vocabulary)[1]
     names = targets.select("source", source_key().alias("k"))
-    return names.join(made.filter("short").select(F.col("source").alias("k")), "k").select("source")
+    return names.join(F.broadcast(report.filter("short").select(F.col("source").alias("k"))), "k").select("source")
