@@ -251,3 +251,21 @@ g: TRUE
         config.bars_per_day("fortnight")
     with pytest.raises(ValueError):
         config.parse("a: 1\n    b: 2")
+
+
+def test_crowded_keys_are_dealt_out(spark, monkeypatch):
+    from kilnmark.operators import spread
+    from kilnmark.operators.graphs import components
+
+    many = spark.createDataFrame([(1, i, "m") for i in range(500)] + [(2, 7, None), (None, 8, "n"), (3, 9, "o")], "k long, x long, v string")
+    few = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k long, y string")
+    for how in ("inner", "left"):
+        plain, dealt = many.join(few, "k", how), spread.spread_join(many, few, "k", how, heavy=50)
+        assert dealt.columns == plain.columns
+        assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
+    assert spread.crowded(many, "k", 50).collect()[0]["_lots"] == 10 and spread.crowded(many.limit(0), "k", 50) is None
+    # a star, a chain and a pair, with every key of more than a few rows dealt out
+    links = [(0, i) for i in range(1, 80)] + [(100 + i, 101 + i) for i in range(40)] + [(500, 499), (7, None)]
+    monkeypatch.setattr(spread, "HEAVY", 5)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(80)}, **{100 + i: 100 for i in range(41)}, 499: 499, 500: 499}
