@@ -26,13 +26,13 @@ def components(links: DataFrame) -> DataFrame:
     label, at = stored_at(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
     while True:
         named = label.select(F.col("node").alias("b"), "root")
-        near = both.join(named, "b") if hubs is None else spread.spread_join(both, named, "b", keys=hubs)
+        near = spread.spread_join(both, named, "b", keys=hubs, rows=0)
         seen = near.groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = label.join(seen, "node").select("node", "root", F.least("root", "near").alias("new"))
         far = label.select(F.col("node").alias("new"), F.col("root").alias("far"))
         # A label that many nodes share already is the one that many will follow.
         shared = spread.crowded(label, "root") if large else None
-        jumped = step.join(far, "new") if shared is None else spread.spread_join(step, far, "new", keys=shared)
+        jumped = spread.spread_join(step, far, "new", keys=shared, rows=0)
         nxt, new_at = stored_at(jumped.select("node", F.least("new", "far").alias("root"), (F.least("new", "far") < F.col("root")).alias("moved")), "labels")
         done = nxt.filter("moved").isEmpty()
         removed(spark, at)

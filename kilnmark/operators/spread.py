@@ -20,12 +20,13 @@ def crowded(df: DataFrame, on: str, heavy: int | None = None) -> DataFrame | Non
     return None if keys.isEmpty() else keys
 
 
-def spread_join(many: DataFrame, few: DataFrame, on: str, how: str = "inner", keys: DataFrame | None = None, heavy: int | None = None) -> DataFrame:
+def spread_join(many: DataFrame, few: DataFrame, on: str, how: str = "inner", keys: DataFrame | None = None, rows: int | None = None, heavy: int | None = None) -> DataFrame:
     """many.join(few, on, how), how being inner or left, with the crowded keys of `many` dealt out in lots.
 
     A crowded key's rows of `few`, which should be few, are repeated once per lot. keys: from `crowded`, where the
-    caller knows them. Null keys match nothing; equal rows may fall into one lot; empty sides give what join gives."""
-    keys = keys if keys is not None else crowded(many, on, heavy)
+    caller knows them; rows: how many `many` has, if known: too few for any key to be crowded aren't counted. Null keys match nothing; equal rows may fall into one lot; empty sides give what join gives."""
+    if keys is None and (rows is None or rows > (heavy or HEAVY)):
+        keys = crowded(many, on, heavy)
     if keys is None:
         return many.join(few, on, how)
     known = F.broadcast(keys)
