@@ -155,6 +155,9 @@ def test_clusters_equal_brute_force(spark, monkeypatch, crowd):
     cols = [f"v{i}" for i in range(5)]
     rows = [(int(i), *map(float, v), "clash") for i, v in zip(ids, x, strict=True)] + [(1, None, 0.0, 0.0, 0.0, 0.0, ""), (2, math.nan, 0.0, 0.0, 0.0, 0.0, ""), (3, math.inf, 0.0, 0.0, 0.0, 0.0, "")]
     df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} float" for c in cols) + ", cell string")
+    with pytest.raises(RuntimeError):
+        monkeypatch.setattr(clusters, "markov", lambda links, f=clusters.markov: f(links, rounds=3))
+        clusters.clusters(df, "id", cols, 0.1, 5, exact=False)
     full, sizes = clusters.clusters(df, "id", cols, 0.1, 5)
     got = {(r["cluster_id"], r["id"]) for r in full.collect()}
     want = brute_clusters(x.astype(float), ids, 0.1, 5)
@@ -173,6 +176,31 @@ def test_no_rows_no_clusters(spark):
 def test_markov_parts_two_cliques_joined_by_a_weak_link(spark):
     clique = lambda a: [(a + i, a + j, 1.0) for i in range(5) for j in range(i + 1, 5)]
     links = spark.createDataFrame([*clique(0), *clique(10), (4, 10, 0.05)], "a long, b long, w double")
-    m = clusters.markov(links, inflation=2.0)
+    m, settled = clusters.markov(links, inflation=2.0)
+    assert settled and not clusters.markov(links, rounds=0)[1]
     hub = {r["node"]: r["hub"] for r in clusters.attractors(m).collect()}
     assert len({hub[i] for i in range(5)}) == 1 and len({hub[i] for i in range(10, 15)}) == 1 and hub[0] != hub[10]
+
+
+def test_crowded_cells_are_split(spark, monkeypatch):
+    """Copies by the hundred, minus zeros, and rows that only the further dimensions set apart."""
+    monkeypatch.setattr(clusters, "CROWD", 60)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.repeat([[1.0] * 9], 300, 0), np.repeat([[0.0] * 9], 80, 0), np.repeat([[-0.0] * 9], 40, 0), rng.normal(0, 0.02, (200, 9)) + np.repeat(np.array([[0, 0, 0, 0, 0, 0, 0, 1, 3.0]]) * rng.integers(0, 3, (200, 1)), 1, 0), [[40.0] * 9] * 2, rng.uniform(-9, 9, (30, 9))]).astype(np.float32)
+    x[:, :4] *= 0.5
+    ids = rng.permutation(len(x)) + 1
+    cols = [f"v{i}" for i in range(9)]
+    df = spark.createDataFrame([(int(i), *map(float, v)) for i, v in zip(ids, x, strict=True)], "id long, " + ", ".join(f"{c} float" for c in cols))
+    got = {(r["cluster_id"], r["id"]) for r in clusters.clusters(df, "id", cols, 0.1, 2)[0].collect()}
+    assert got == brute_clusters(x.astype(float), ids, 0.1, 2)
+
+
+def test_flow_alone_finds_most_clusters(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 0.015, (rng.integers(10, 60), 5)) + c for c in rng.uniform(-4, 4, (25, 5))]).astype(np.float32)
+    ids = np.arange(len(x))
+    cols = [f"v{i}" for i in range(5)]
+    df = spark.createDataFrame([(int(i), *map(float, v)) for i, v in zip(ids, x, strict=True)], "id long, " + ", ".join(f"{c} float" for c in cols))
+    got = {(r["cluster_id"], r["id"]) for r in clusters.clusters(df, "id", cols, 0.1, 5, exact=False)[0].collect()}
+    want = brute_clusters(x.astype(float), ids, 0.1, 5)
+    assert len(got & want) >= 0.9 * len(want)
