@@ -1,8 +1,10 @@
 """Problem 5: implausible readings, judged by each source's own normal behaviour.
 
 Every reading gets an isolation forest score within its source, on its level, its difference to the reading before, its
-deviation from the hour's usual level and the length of the run of equal readings it is in. Explicit rules mark what
-cannot be right (physical limits), what exceeds a multiple of the source's exact median, and what stays stuck.
+deviation from the hour's usual level and the length of the run of equal readings it is in. Readings among the source's
+most isolated ones are marked odd. Those that score at least what any reading of a suspicious level or run must score
+are candidates, from which exact checks take the spikes (a multiple of the source's exact median) and stuck readings: no
+case is lost, as that floor follows from the forest's own longest paths. Explicit rules mark what breaks physical limits.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from .order_stats import exact_medians
 from .ordered import Ordered
 
 SAMPLE = 1_000  # readings of a source from which its forest is grown; Spark prunes ranks up to 1,000 before the shuffle
-TREES, LEAVES = 32, 128  # trees of a forest, readings of the sample in each
+TREES, LEAVES = 64, 256  # trees of a forest, readings of the sample in each
+WIDER = 0.5  # how far the root's space goes beyond a feature's sampled range, in widths of that range
+ODD = 0.05  # share of a source's sample that counts as odd
 FEATURES = ("level", "volume_level", "difference", "seasonal", "run")
 
 
@@ -64,17 +68,21 @@ def _path(n: float) -> float:
 
 
 def grow(x: np.ndarray, seed: int) -> list[tuple[np.ndarray, ...]]:
-    """A forest over the rows of x: per tree feature, threshold, left child (right is next) and path length."""
+    """A forest over the rows of x: per tree feature, threshold, left child (right is next) and path length.
+
+    Cuts fall anywhere in the space of a node, which at the root is the sample's range and WIDER times its width on
+    either side: so readings far outside the sample, which holds few spikes, end in empty space after few cuts, where
+    cuts between sampled values alone would take them for the sample's extremes."""
     rng = np.random.default_rng(seed)
     limit = int(np.ceil(np.log2(max(2, min(LEAVES, len(x))))))
+    width = WIDER * (x.max(0) - x.min(0))
     forest = []
     for _ in range(TREES):
         rows = rng.choice(len(x), min(LEAVES, len(x)), replace=False)
         feature, cut_at, left, path = [-1], [0.0], [0], [0.0]
-        todo = [(0, rows, 0)]
+        todo = [(0, rows, 0, x.min(0) - width, x.max(0) + width)]
         while todo:
-            node, own, depth = todo.pop()
-            low, high = x[own].min(0), x[own].max(0)
+            node, own, depth, low, high = todo.pop()
             can = np.flatnonzero(high > low)
             if depth >= limit or len(own) < 2 or not len(can):
                 path[node] = depth + _path(len(own))
@@ -83,10 +91,12 @@ def grow(x: np.ndarray, seed: int) -> list[tuple[np.ndarray, ...]]:
             c = rng.uniform(low[f], high[f])
             go = x[own, f] <= c
             feature[node], cut_at[node], left[node] = f, c, len(feature)
-            for side in (own[go], own[~go]):
-                todo.append((len(feature), side, depth + 1))
-                for a, v in ((feature, -1), (cut_at, 0.0), (left, 0), (path, 0.0)):
-                    a.append(v)
+            below, above = high.copy(), low.copy()
+            below[f] = above[f] = c
+            for side, a, b in ((own[go], low, below), (own[~go], above, high)):
+                todo.append((len(feature), side, depth + 1, a, b))
+                for column, v in ((feature, -1), (cut_at, 0.0), (left, 0), (path, 0.0)):
+                    column.append(v)
         forest.append((np.array(feature), np.array(cut_at), np.array(left), np.array(path)))
     return forest
 
@@ -110,16 +120,35 @@ def score(forest: list[tuple[np.ndarray, ...]], x: np.ndarray, sample: int) -> n
     return 2.0 ** (-total / len(forest) / max(_path(min(LEAVES, sample)), 1e-9))
 
 
-FLAG_SCHEMA = "bar_id long, source string, impossible boolean, spike boolean, stuck boolean, score double"
+def least_score(forest: list[tuple[np.ndarray, ...]], feature: int, above: float, sample: int) -> float:
+    """What every reading scores at least whose feature exceeds a value: in each tree it may take the longest path that
+    is open to it."""
+    total = 0.0
+    for split, cut_at, left, path in forest:
+        longest, todo = 0.0, [0]
+        while todo:
+            node = todo.pop()
+            if split[node] < 0:
+                longest = max(longest, path[node])
+                continue
+            todo.append(left[node] + 1)
+            if split[node] != feature or cut_at[node] > above:
+                todo.append(left[node])
+        total += longest
+    return 2.0 ** (-total / max(len(forest), 1) / max(_path(min(LEAVES, sample)), 1e-9)) * (1 - 1e-9)
+
+
+FLAG_SCHEMA = "bar_id long, source string, impossible boolean, spike boolean, stuck boolean, score double, odd boolean, candidate boolean"
 
 
-def flag_readings(bars: DataFrame, factor: float = 20.0, run: int = 6) -> DataFrame:
-    """One row per bar: bar_id, source, impossible, spike, stuck, score.
+def flag_readings(bars: DataFrame, factor: float = 20.0, run: int = 6, share: float = ODD) -> DataFrame:
+    """One row per bar: bar_id, source, impossible, spike, stuck, score, odd, candidate.
 
     impossible: a reading breaks a physical limit. spike: wick up, wick down or volume is more than `factor` times the
     exact median of that quantity over all bars of the source. stuck: the bar is in a run of at least `run` bars of the
     source, by datetime and bar_id, with the same volume or the same high and low, all with finite non-zero volume.
-    score: isolation forest score within the source.
+    score: isolation forest score within the source. odd: it is above all but `share` of the scores of the source's
+    sample. candidate: it reaches what any spike or stuck reading of the source must score; others aren't checked.
 
     Nulls are never a case by themselves; bars with a null datetime are in no run; a null source is a source like any
     other; bars given twice are judged twice; an empty table gives an empty result; extra columns don't matter. Needs
@@ -195,22 +224,32 @@ def flag_readings(bars: DataFrame, factor: float = 20.0, run: int = 6) -> DataFr
             return {k: t[k].cast(pa.float64()).to_pandas().to_numpy(dtype=float, na_value=np.nan) for k in ("hour", "up", "down", "vol", "diff", "run")}
 
         picked = sorted(ref["sample"] or [], key=lambda r: r["bar_id"])
-        forest = []
+        forest, known_x = [], np.empty((0, len(FEATURES)))
         if picked:
-            forest = grow(matrix({k: np.array([np.nan if r[k] is None else r[k] for r in picked], float) for k in ("hour", "up", "down", "vol", "diff", "run")}), zlib.crc32((source or "").encode()))
+            known_x = matrix({k: np.array([np.nan if r[k] is None else r[k] for r in picked], float) for k in ("hour", "up", "down", "vol", "diff", "run")})
+            forest = grow(known_x, zlib.crc32((source or "").encode()))
         c = columns(left)
-        s = score(forest, matrix(c), len(picked))
-        with np.errstate(invalid="ignore"):
-            spike = np.zeros(left.num_rows, bool)
-            for k, m in medians.items():
-                if m is not None:
-                    spike |= np.nan_to_num(c[k], nan=-np.inf) > factor * m
+        s = score(forest, own := matrix(c), len(picked))
+        usual_score = np.quantile(score(forest, known_x, len(picked)), 1 - share) if picked else np.inf
+        # A median of 0 tells the forest nothing of the multiple, so every reading is checked.
+        blind = not forest or any(m == 0 for m in medians.values())
+        above = np.log1p(factor) * (1 - 1e-9)
+        floor = 0.0 if blind else min(least_score(forest, FEATURES.index(f), above, len(picked)) for f in ("level", "volume_level"))
+        hot, long_ = np.flatnonzero(s >= floor), np.flatnonzero(s >= (least_score(forest, FEATURES.index("run"), run - 0.5, len(picked)) if forest else 0.0))
+        spike, stuck, candidate = (np.zeros(left.num_rows, bool) for _ in range(3))
+        candidate[hot] = candidate[long_] = True
+        for k, m in medians.items():
+            if m is not None:
+                spike[hot] |= np.nan_to_num(c[k][hot], nan=-np.inf) > factor * m
+        stuck[long_] = own[long_, FEATURES.index("run")] >= run
         out = left.select(["bar_id", "source", "impossible"])
-        return out.append_column("spike", pa.array(spike)).append_column("stuck", pa.array(c["run"] >= run)).append_column("score", pa.array(s))
+        for name, x in (("spike", spike), ("stuck", stuck), ("score", s), ("odd", s > usual_score), ("candidate", candidate)):
+            out = out.append_column(name, pa.array(x))
+        return out
 
     return features.groupBy("source", "block").cogroup(known.groupBy("source", "block")).applyInArrow(judge, FLAG_SCHEMA)
 
 
 def implausible(bars: DataFrame) -> DataFrame:
-    """bar_id of every bar that breaks a limit, spikes or is stuck."""
+    """bar_id of every bar that breaks a limit, or that the forest lets through as a candidate and that spikes or is stuck."""
     return flag_readings(bars).filter("impossible or spike or stuck").select("bar_id")

@@ -156,3 +156,33 @@ def test_grid_over_stretches_equals_brute_force(spark, monkeypatch):
         if cov:
             assert r["close"] == pytest.approx(near / cov)
         assert (r["state"] == "observed") == bool(((t >= k * 60) & (t < (k + 1) * 60)).any())
+
+
+def test_no_reading_of_a_suspicious_region_scores_below_its_floor():
+    rng = np.random.default_rng(4)
+    for seed in range(5):
+        x = np.stack([rng.exponential(1, 400), rng.normal(size=400), rng.integers(1, 4, 400).astype(float)], 1)
+        forest = spikes.grow(x, seed)
+        y = rng.normal(0, 6, (3000, 3))
+        s = spikes.score(forest, y, len(x))
+        for f, above in ((0, 3.0), (1, 0.5), (2, 5.5)):
+            floor = spikes.least_score(forest, f, above, len(x))
+            assert 0 < floor <= s[y[:, f] > above].min()
+        # far outside is more isolated than the midst
+        assert spikes.score(forest, np.array([[30.0, 0.0, 1.0]]), 400)[0] > np.quantile(spikes.score(forest, x, 400), 0.9)
+    assert spikes.least_score([], 0, 1.0, 0) <= 1
+
+
+def test_odd_readings_hold_most_spikes(spark):
+    rng = np.random.default_rng(11)
+    n = 3000
+    c = 100 * np.exp(np.cumsum(rng.normal(0, 0.001, n)))
+    up, down, vol = (rng.exponential(1, n) for _ in range(3))
+    at = rng.choice(np.arange(50, n), 40, replace=False)
+    vol[at[:20]] = rng.uniform(21, 200, 20)
+    up[at[20:]] = rng.uniform(21, 200, 20)
+    rows = [(i, "s", datetime.fromtimestamp(60 * i, timezone.utc), float(c[i]), float(c[i] * (1 + up[i] * 1e-3)), float(c[i] * (1 - down[i] * 1e-3)), float(c[i]), float(vol[i] + 1e-9 * i)) for i in range(n)]
+    df = spark.createDataFrame(rows, "bar_id long, symbol string, datetime timestamp, open double, high double, low double, close double, volume double")
+    got = spikes.flag_readings(df).toPandas()
+    assert got.spike.sum() >= 35 and (got.candidate | ~(got.spike | got.stuck)).all()
+    assert got[got.spike].odd.mean() >= 0.9 and got.odd.mean() < 0.12
