@@ -7,35 +7,64 @@ new file is opened again and its schema, row groups, column chunks and rows are
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.instants import instant
-from ..session import cut, work_path
+from ..session import cut, qualified, removed, work_path
 from ..sources import footers
 
 TARGET = 128 << 20  # bytes of a well-sized file
 BROADCAST_IDS = 500_000  # ids of rows to leave out that may be sent to all tasks, some 30 bytes each
 
 
-def _fs(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" not in path and not path.startswith("file:"):
-        return pafs.LocalFileSystem(), path
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(path)
+PIECE = 8 << 20  # bytes copied at a time
+
+
+def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a full URI, as Spark qualifies it (see session.qualified); what is no URI is refused,
+    since each executor would take it for its own disk."""
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    if "://" not in uri:
+        raise ValueError(f"{uri} names no file system")
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
+def read_footer(f: pa.NativeFile) -> list:
+    """The footer of an open Parquet file, from its end alone."""
+    n = f.size()
+    f.seek(max(n - 8, 0))
+    tail = f.read(8)
+    if tail[4:] != footers.MAGIC:
+        raise ValueError("no Parquet file")
+    k = int.from_bytes(tail[:4], "little")
+    f.seek(n - 8 - k)
+    return footers.Reader(f.read(k)).struct()
+
+
+def copied(f: pa.NativeFile, out: pa.NativeFile, start: int, stop: int) -> None:
+    f.seek(start)
+    while start < stop:
+        piece = f.read(min(PIECE, stop - start))
+        if not piece:
+            raise ValueError("the file ends within its blocks")
+        out.write(piece)
+        start += len(piece)
 
 
 def merge_files(paths: list[str], target: str) -> dict:
-    """Appends the blocks of all paths, which must share a schema, to a new file at target and checks it.
+    """Appends the blocks of all paths (URIs), which must share a schema, to a new file at target and checks it.
 
-    Written under a passing name and moved into place at the end, so a repeated task attempt leaves one whole file."""
+    A file is copied piece by piece, so its size doesn't matter. Written under a passing name and moved into place at the end, so a repeated task attempt leaves one whole file."""
     fs, out_path = _fs(target)
     fs.create_dir(out_path.rpartition("/")[0], recursive=True)
     passing = f"{out_path.rpartition('/')[0]}/_{uuid.uuid4().hex}.tmp"
@@ -44,17 +73,16 @@ def merge_files(paths: list[str], target: str) -> dict:
         out.write(footers.MAGIC)
         for p in paths:
             src, name = _fs(p)
-            with src.open_input_stream(name) as f:
-                data = f.read()
-            meta = footers.footer(data)
-            if first is None:
-                first = meta
-            elif footers.shape(meta) != footers.shape(first):
-                raise ValueError(f"{p} has another schema than {paths[0]}")
-            end = footers.body_end(meta)
-            rows += footers.field(meta, footers.FILE_ROWS)
-            groups += footers.moved(meta, at - 4)
-            out.write(memoryview(data)[4:end])
+            with src.open_input_file(name) as f:
+                meta = read_footer(f)
+                if first is None:
+                    first = meta
+                elif footers.shape(meta) != footers.shape(first):
+                    raise ValueError(f"{p} has another schema than {paths[0]}")
+                end = footers.body_end(meta)
+                rows += footers.field(meta, footers.FILE_ROWS)
+                groups += footers.moved(meta, at - 4)
+                copied(f, out, 4, end)
             at += end - 4
         new = [[f[0], f[1], rows if f[0] == footers.FILE_ROWS else (footers.STRUCT, groups) if f[0] == footers.FILE_GROUPS else f[2]] for f in first]
         tail = bytearray()
@@ -72,14 +100,42 @@ def merge_files(paths: list[str], target: str) -> dict:
     return {"path": target, "files": len(paths), "rows": rows, "row_groups": len(groups), "blocks": blocks, "bytes": at + len(tail) + 8}
 
 
+def listing(spark: SparkSession, source: str) -> DataFrame:
+    """path (URI) and length of all Parquet files below source, hidden ones left out.
+
+    Folders are listed by tasks, level by level, so that names of files never gather on the driver, nor do those of
+    folders but for one look a level whether there are more."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for uri in pdf["path"]:
+                fs, name = _fs(uri)
+                scheme = uri[: len(uri) - len(name)] if uri.endswith(name) else uri[: uri.index(":") + 1]
+                found = [f for f in fs.get_file_info(pafs.FileSelector(name, allow_not_found=True)) if not f.base_name.startswith(("_", "."))]
+                found = [f for f in found if f.type == pafs.FileType.Directory or f.base_name.endswith(".parquet")]
+                yield pd.DataFrame({"path": [f"{scheme}{f.path}" for f in found], "length": [-1 if f.type == pafs.FileType.Directory else f.size for f in found]}).astype({"path": object, "length": "int64"})
+
+    level = spark.createDataFrame([(source,)], "path string")
+    files = None
+    while True:
+        seen = cut(level.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(look, "path string, length long"))
+        here = seen.filter("length >= 0")
+        files = here if files is None else files.unionAll(here)
+        level = seen.filter("length < 0").select("path")
+        if level.isEmpty():
+            return files
+
+
 def compact(spark: SparkSession, source: str, target: str, size: int = TARGET) -> DataFrame:
     """Merges all Parquet files below source into files of about `size` bytes below target, directory by directory.
 
     Returns the merged files: path, files (merged into it), rows, row_groups, blocks, bytes, checked as written. Files
     with different schemas in one directory go to different files; files without rows add their schema only. A single
     large file comes out as a file of its own. An empty source gives an empty result. Running it again writes the same
-    files again. Only names and sizes of files pass through the plan, one row a file."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(source).select("path", "length")
+    files again. Only names and sizes of files pass through the plan, one row a file. Paths are resolved as Spark
+    resolves them, and files are opened through that file system; one that this build of pyarrow can't reach is an
+    error."""
+    source, target = qualified(spark, source), qualified(spark, target)
 
     def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
@@ -89,15 +145,10 @@ def compact(spark: SparkSession, source: str, target: str, size: int = TARGET) -
             for p in pdf["path"]:
                 fs, name = _fs(p)
                 with fs.open_input_file(name) as f:
-                    n = f.size()
-                    f.seek(n - 8)
-                    k = int.from_bytes(f.read(4), "little")
-                    f.seek(n - 8 - k)
-                    meta = footers.Reader(f.read(k)).struct()
-                kinds.append(hashlib.sha256(footers.shape(meta)).hexdigest()[:16])
+                    kinds.append(hashlib.sha256(footers.shape(read_footer(f))).hexdigest()[:16])
             yield pdf.assign(kind=kinds)
 
-    files = listed.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(shapes, "path string, length long, kind string")
+    files = listing(spark, source).repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(shapes, "path string, length long, kind string")
     files = files.withColumn("dir", F.regexp_replace("path", r"/[^/]*$", ""))
     upto = F.sum("length").over(Window.partitionBy("dir", "kind").orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
     files = files.withColumn("bin", F.expr("0L") + F.floor(F.coalesce(upto, F.lit(0)) / F.lit(size)).cast("long"))
@@ -143,8 +194,7 @@ def compact_signatures(signatures: DataFrame, files: DataFrame, target: str, siz
     small = work_path(spark, "small-files")
     timed.unionByName(untimed).write.partitionBy("year", "month").parquet(small)
     merged = compact(spark, small, target, size)
-    fs, path = _fs(small)
-    fs.delete_dir(path)
+    removed(spark, small)
     total = signatures.count()
     rows = merged.agg(F.sum("rows")).first()[0] or 0
     if rows != total - lost:

@@ -47,6 +47,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return stored_at(df, name)[0]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme and authority of the file system that Spark resolves it to."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder through the file system that Spark resolves its path to."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -43,9 +43,10 @@ def test_many_tiny_files_become_few(spark, tmp_path):
     assert got.files.sum() == 189 and got.rows.sum() == len(a) + len(b) + len(other) and len(got) < 25
     for month, want in (("01", a), ("02", b)):
         files = sorted(p for p in got.path if f"month={month}" in p)
-        rows = [r for p in files for r in pq.ParquetFile(p).read().to_pylist()]
+        opened = [pq.ParquetFile(p.removeprefix("file:")) for p in files]
+        rows = [r for f in opened for r in f.read().to_pylist()]
         assert rows == want
-        assert sum(pq.ParquetFile(p).metadata.num_row_groups for p in files) == got[got.path.isin(files)].row_groups.sum()
+        assert sum(f.metadata.num_row_groups for f in opened) == got[got.path.isin(files)].row_groups.sum()
     assert spark.read.parquet(f"{tmp_path}/out/year=2020/month=01").count() == len(a)
     assert spark.read.parquet(f"{tmp_path}/out/year=2020/month=01").filter("x > 0.5").count() == sum(1 for r in a if r["x"] is not None and r["x"] > 0.5)
     again = compaction.compact(spark, f"{tmp_path}/in", f"{tmp_path}/out", 40_000).toPandas()
@@ -60,7 +61,18 @@ def test_nothing_to_merge(spark, tmp_path):
 def test_mixed_schemas_do_not_merge(tmp_path):
     tiny(f"{tmp_path}/a", 1), tiny(f"{tmp_path}/b", 1, extra=True)
     with pytest.raises(ValueError):
-        compaction.merge_files([f"{tmp_path}/a/f0000.parquet", f"{tmp_path}/b/f0000.parquet"], f"{tmp_path}/c.parquet")
+        compaction.merge_files([f"file:{tmp_path}/a/f0000.parquet", f"file://{tmp_path}/b/f0000.parquet"], f"file:{tmp_path}/c.parquet")
+    with pytest.raises(ValueError, match="file system"):
+        compaction.merge_files([f"{tmp_path}/a/f0000.parquet"], f"{tmp_path}/c.parquet")
+
+
+def test_paths_with_and_without_scheme(spark, tmp_path, monkeypatch):
+    rows = tiny(f"{tmp_path}/in/a b=1", 20)
+    monkeypatch.setattr(compaction, "PIECE", 7)
+    for i, scheme in enumerate(("", "file:", "file://")):
+        got = compaction.compact(spark, f"{scheme}{tmp_path}/in", f"{scheme}{tmp_path}/out{i}").collect()
+        assert [r["path"] for r in got] and all(r["path"].startswith("file:") for r in got)
+        assert pq.read_table(f"{tmp_path}/out{i}/a b=1", partitioning=None).num_rows == len(rows)
 
 
 SIG = "sig_id long, symbol string, interval string, timestamp string, year string, month string, slot_28 float, file_id long, ingested_at timestamp, keeper string, path string"
