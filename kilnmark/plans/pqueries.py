@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compaction, regular, spikes
 from ..session import table, work_path
+from .common import INSTANT, r6
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,16 +36,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every slot of the shards with close, volume, coverage and state."""
-    return regular.regular_bars(table(spark, sf_dir, "ohlcv"), table(spark, sf_dir, "mining_shards"))
+    got = regular.regular_bars(table(spark, sf_dir, "ohlcv"), table(spark, sf_dir, "mining_shards"))
+    return got.withColumns({c: r6(c) for c in ("close", "volume", "coverage")})
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_months, p5_found, p5_scores, p6_found, p6_grid)}
 
-INSTANT = """case when regexp_matches(trim("timestamp"), '^-?[0-9]{9,16}$') then make_timestamp(cast(trim("timestamp") as bigint) * 1000)
- when regexp_matches(trim("timestamp"), '[+-][0-9][0-9]:[0-9][0-9]$') then try_cast(substr(trim("timestamp"), 1, length(trim("timestamp")) - 6) as timestamp)
-  - to_minutes(cast(substr(trim("timestamp"), length(trim("timestamp")) - 5, 1) || '1' as bigint) * (60 * cast(substr(trim("timestamp"), length(trim("timestamp")) - 4, 2) as bigint) + cast(substr(trim("timestamp"), length(trim("timestamp")) - 1, 2) as bigint)))
- else try_cast(replace(trim("timestamp"), 'Z', '') as timestamp) end"""
-
 _SLOTS = """
 with sec(iv, s) as (values ('1m', 60), ('5m', 300), ('15m', 900), ('1h', 3600)),
 slots as (
@@ -77,7 +74,34 @@ union all select bar_id from m join med on s = symbol where up > 20 * mu or down
 union all {_RUN('coalesce(volume = pv, false)')}
 union all {_RUN('coalesce("high" = ph and "low" = pl, false)')}) f"""
 
+_GRID = f"""
+with sec(iv, s) as (values ('1m', 60), ('5m', 300), ('15m', 900), ('1h', 3600)),
+slots as (
+  select distinct symbol, s, unnest(generate_series(cast(epoch(shard_start) as bigint), cast(epoch(shard_end) as bigint) - s, s)) as slot_epoch
+  from mining_shards join sec on iv = "interval"),
+r as (select o.symbol, x.s, x.s * 1000000::bigint as us, epoch_us(o.datetime) as t, o."close" as v, case when isfinite(o.volume) and o.volume >= 0 then o.volume end as amount,
+    row_number() over (partition by o.symbol, x.s, o.datetime order by o.received_at desc nulls last, o.bar_id desc nulls last) as rn
+  from ohlcv o join (select distinct symbol, s from slots) x on x.symbol = o.symbol where o.datetime is not null and {_FINE('o."close"')}),
+u as (select *, least(coalesce(lead(t) over (partition by symbol, s order by t), t + 3 * us), t + 3 * us) as until from r where rn = 1),
+c as (select *, unnest(generate_series(t // us, (until - 1) // us)) as cell from u),
+w as (select *, (least(until, (cell + 1) * us) - greatest(t, cell * us)) / us as share from c),
+g as (select symbol, s, cell * s as slot_epoch, sum(share * v) / sum(share) as v, sum(share) as share, sum(case when t // us = cell then amount end) as amount, count(*) filter (t // us = cell) as started from w group by symbol, s, cell)
+select slots.symbol, slots.slot_epoch, round(v, 6) + 0.0 as "close", round(amount, 6) + 0.0 as volume, round(coalesce(share, 0.0), 6) + 0.0 as coverage,
+  case when started > 0 then 'observed' when share > 0 then 'filled' else 'missing' end as state
+from slots left join g on g.symbol = slots.symbol and g.s = slots.s and g.slot_epoch = slots.slot_epoch"""
+
+_PART = lambda k: f"coalesce(nullif(regexp_extract(path, '{k}=([0-9]+)', 1), ''), 'unknown')"
+_KEPT = f"""
+with s as (select sig_id, symbol, "interval" as iv, {INSTANT} as t, file_id from signatures),
+f as (select file_id, min(path) as path from signature_files group by file_id),
+k as (
+  select sig_id, strftime(t, '%Y') as year, strftime(t, '%m') as month from (select *, row_number() over (partition by symbol, iv, t order by sig_id) as rn from s where t is not null) x where rn = 1 or symbol is null or iv is null
+  union all select sig_id, {_PART('year')}, {_PART('month')} from s left join f using (file_id) where t is null)
+select year, month, count(*) as n, count(distinct sig_id) as ids from k group by year, month"""
+
 SQL = {
+    "p4_months": _KEPT,
+    "p6_grid": _GRID,
     "p4_found": f"""with s as (select sig_id, symbol, "interval" as iv, {INSTANT} as at from signatures where "timestamp" is not null)
 select a.sig_id as sig_id_a, b.sig_id as sig_id_b from s a join s b on a.symbol = b.symbol and a.iv = b.iv and a.at = b.at and a.sig_id < b.sig_id""",
     "p5_found": _SPIKES,
