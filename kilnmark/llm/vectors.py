@@ -1,8 +1,10 @@
 """Problem 2: the k most similar vectors of every vector, by learned partitions.
 
 A bounded sample gives a neighbour graph; the graph is cut into balanced parts by recursive bisection; a small neural
-classifier learns which part a vector belongs to. Every row is indexed in its most probable part, every query visits
-its most probable parts and reranks what it meets there by exact distance. Equal vectors are searched once.
+classifier learns which part a vector belongs to. Where parts would grow beyond what one classifier can tell apart,
+each is cut further in the same way, from a sample of its own, by a task of its own. Every row is indexed in its most
+probable part, every query visits its most probable parts and reranks what it meets there by exact distance. A part
+that grew too large is held in several pieces, which its queries all visit. Equal vectors are searched once.
 """
 
 from __future__ import annotations
@@ -20,7 +22,11 @@ from .topn import finite, top_n
 
 SAMPLE = 20_000  # vectors from which partitions and classifier are learned
 PER_PART = 1_000  # rows a part should hold
-MAX_PARTS = 2_048  # parts; the sample must hold a few vectors of each
+MAX_PARTS = 2_048  # parts of the first level; the sample must hold a few vectors of each
+MAX_FINE = 256  # parts into which each of these may be cut again: in all, half a billion vectors before parts grow
+FINE_SAMPLE = 48  # vectors per part of the second level from which it is learned
+COARSE = 8  # parts of the first level among which a query's parts of the second level are sought
+PART_MAX = 20_000  # vectors that a task holds at once
 HIDDEN = 48  # units of the classifier's hidden layer
 SEED = 11
 
@@ -102,13 +108,49 @@ def train_router(x: np.ndarray, part: np.ndarray, parts: int, epochs: int = 40,
     return [a.astype(np.float32) for a in w]
 
 
-def routes(w: list[np.ndarray], x: np.ndarray, probes: int) -> np.ndarray:
-    """The most probable parts of every row, the most probable one first."""
-    o = np.maximum(x @ w[0] + w[1], 0) @ w[2] + w[3]
-    probes = min(probes, o.shape[1])
-    top = np.argpartition(-o, probes - 1, axis=1)[:, :probes]
-    order = np.argsort(-np.take_along_axis(o, top, 1), axis=1, kind="stable")
-    return np.take_along_axis(top, order, 1).astype(np.int32)
+def _logits(w: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    return np.maximum(x @ w[0] + w[1], 0) @ w[2] + w[3]
+
+
+def _chances(w: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    o = _logits(w, x)
+    o = o - o.max(1, keepdims=True)
+    return o - np.log(np.exp(o).sum(1, keepdims=True))
+
+
+def _best(o: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the n largest values of every row, the largest first."""
+    n = min(n, o.shape[1])
+    top = np.argpartition(-o, n - 1, axis=1)[:, :n]
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(o, top, 1), axis=1, kind="stable"), 1)
+
+
+class Router:
+    """The parts of a vector, most probable first: of the first level alone, or of the second within the first's."""
+
+    def __init__(self, coarse: list[np.ndarray], fine: dict[int, list[np.ndarray]] | None = None):
+        self.coarse, self.fine = coarse, fine
+
+    def routes(self, x: np.ndarray, probes: int) -> np.ndarray:
+        if self.fine is None:
+            return _best(_logits(self.coarse, x), probes).astype(np.int32)
+        first = _chances(self.coarse, x)
+        near = _best(first, COARSE)
+        wide = max([len(w[3]) for w in self.fine.values()], default=1)
+        joint = np.full((*near.shape, wide), -np.inf, np.float32)
+        joint[..., 0] = np.take_along_axis(first, near, 1)  # a part that isn't cut further
+        flat = near.ravel()
+        order = np.argsort(flat, kind="stable")
+        for a, z in zip(c := np.flatnonzero(np.diff(flat[order], prepend=-1)), np.append(c[1:], len(flat)), strict=True):
+            w = self.fine.get(int(flat[order[a]]))
+            if w is not None:
+                i, j = np.divmod(order[a:z], near.shape[1])
+                joint[i, j, : len(w[3])] = first[i, flat[order[a]]][:, None] + _chances(w, x[i])
+        joint = joint.reshape(len(x), -1)
+        at = _best(joint, probes)
+        part = np.take_along_axis(near, at // wide, 1) * MAX_FINE + at % wide
+        # Places that no part fills are the first part again, which a query visits once.
+        return np.where(np.isfinite(np.take_along_axis(joint, at, 1)), part, part[:, :1]).astype(np.int32)
 
 
 def learn(sample: np.ndarray, rows: int) -> list[np.ndarray]:
@@ -121,6 +163,47 @@ def learn(sample: np.ndarray, rows: int) -> list[np.ndarray]:
     return train_router(sample, balanced_parts(sample, near, depth), 2**depth)
 
 
+def learn_fine(kinds: DataFrame, vs: list[str], coarse: list[np.ndarray], rows: int) -> dict[int, list[np.ndarray]] | None:
+    """Routers of the second level by part of the first; None where one level is enough.
+
+    Every part's sample is learned from by one task; what comes back are weights, at most MAX_PARTS times some
+    (columns + MAX_FINE) * HIDDEN numbers, whatever the number of rows."""
+    parts = len(coarse[3])
+    fine = 2 ** int(np.ceil(np.log2(max(rows / (parts * PER_PART), 1))))
+    if parts < MAX_PARTS or fine < 2:
+        return None
+    fine = min(fine, MAX_FINE)
+    drawn = kinds.select(*vs).filter(F.pmod(F.xxhash64(*vs, F.lit(SEED)), F.lit(rows)) < FINE_SAMPLE * fine * parts)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _stack(b, vs)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(_logits(coarse, x).argmax(1).astype(np.int32)), *b.columns], names=["part", *vs])
+
+    def train(t: pa.Table) -> pa.Table:
+        x = np.unique(np.stack([t[v].to_numpy() for v in vs], 1).astype(np.float32), axis=0)
+        if len(x) > 4 * FINE_SAMPLE * fine:  # a part far larger than its share
+            x = x[np.random.default_rng(SEED).choice(len(x), 4 * FINE_SAMPLE * fine, replace=False)]
+        depth = int(min(np.log2(fine), np.log2(max(1, len(x) // 8))))
+        if not depth:
+            return pa.table({"part": pa.array([], pa.int32()), "weights": pa.array([], pa.list_(pa.float32()))})
+        w = train_router(x, balanced_parts(x, nearest_in(x, 10), depth), 2**depth)
+        return pa.table({"part": t["part"][:1], "weights": pa.array([np.concatenate([a.ravel() for a in w])], pa.list_(pa.float32()))})
+
+    schema = T.StructType([T.StructField("part", T.IntegerType()), *[T.StructField(v, T.FloatType()) for v in vs]])
+    got = drawn.mapInArrow(place, schema).groupBy("part").applyInArrow(train, "part int, weights array<float>")
+    out = {}
+    for r in got.toArrow().to_pylist():
+        w = np.array(r["weights"], np.float32)
+        d = len(vs)
+        p = (len(w) - d * HIDDEN - HIDDEN) // (HIDDEN + 1)
+        cuts = np.cumsum([d * HIDDEN, HIDDEN, HIDDEN * p])
+        a, b, c, e = np.split(w, cuts)
+        out[r["part"]] = [a.reshape(d, HIDDEN), b, c.reshape(HIDDEN, p), e]
+    return out
+
+
 def _stack(b: pa.RecordBatch, cols: list[str]) -> np.ndarray:
     return np.stack([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in cols], 1).astype(np.float32)
 
@@ -172,24 +255,38 @@ def neighbours(df: DataFrame, id: str, cols: list[str], k: int, probes: int, que
     # About SAMPLE vectors reach the driver whatever n is: those with the smallest hashes.
     drawn = kinds.select(*vs).filter(F.pmod(F.xxhash64(*vs), F.lit(max(n, 1))) < SAMPLE)
     sample = drawn.toPandas().sort_values(vs).to_numpy(np.float32)
-    router = learn(sample, n) if n else None
-    if router is None:
+    if not n:
         return spark.createDataFrame([], "id_a long, id_b long, distance double")
-    parts = len(router[3])
-    out = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("role", T.IntegerType()), T.StructField("rep", T.LongType()), *[T.StructField(v, T.FloatType()) for v in vs]])
+    coarse = learn(sample, n)
+    router = Router(coarse, learn_fine(kinds, vs, coarse, n))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _stack(b, vs)
             if not len(x):
                 continue
-            to = routes(router, x, probes)
-            rep = b.column(b.schema.get_field_index("rep")).to_numpy()
-            asks = np.flatnonzero(b.column(b.schema.get_field_index("_q")).to_numpy(zero_copy_only=False))
-            at = np.concatenate([np.arange(len(x)), np.repeat(asks, to.shape[1])])
-            part = np.concatenate([to[:, 0], to[asks].ravel()])
-            role = np.concatenate([np.zeros(len(x), np.int32), np.ones(len(asks) * to.shape[1], np.int32)])
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(role, pa.int32()), pa.array(rep[at], pa.int64()), *[pa.array(x[at, i]) for i in range(len(vs))]], names=out.names)
+            asks = b.column(b.schema.get_field_index("_q")).to_numpy(zero_copy_only=False)
+            to = router.routes(x, probes)
+            n_to = np.where(asks, to.shape[1], 1)
+            keep = np.arange(to.shape[1])[None] < n_to[:, None]
+            parts = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_to)).astype(np.int32)), pa.array(to[keep]))
+            yield pa.RecordBatch.from_arrays([parts, *b.select(["rep", "_q", *vs]).columns], names=["parts", "rep", "_q", *vs])
+
+    spots = T.StructType([T.StructField("parts", T.ArrayType(T.IntegerType())), T.StructField("rep", T.LongType()), T.StructField("_q", T.BooleanType()), *[T.StructField(v, T.FloatType()) for v in vs]])
+    placed = cut(kinds.select("rep", "_q", *vs).mapInArrow(route, spots))
+    own = F.col("parts")[0]
+    large = cut(placed.groupBy(own.alias("part")).count().filter(F.col("count") > PART_MAX).select("part", F.ceil(F.col("count") / PART_MAX).cast("int").alias("pieces")))
+    # A part's pieces, at most one per PART_MAX rows of it: rows go to one by their id, queries to all.
+    held = placed.select(own.alias("part"), F.lit(0).alias("role"), "rep", *vs)
+    asked = placed.filter("_q").select(F.explode(F.array_distinct("parts")).alias("part"), F.lit(1).alias("role"), "rep", *vs)
+    if large.isEmpty():
+        routed = held.unionAll(asked).withColumn("piece", F.lit(0))
+    else:
+        few, n_of = F.broadcast(large), F.coalesce("pieces", F.lit(1))
+        held = held.join(few, "part", "left").withColumn("piece", F.pmod(F.xxhash64("rep"), n_of).cast("int"))
+        asked = asked.join(few, "part", "left").withColumn("piece", F.explode(F.sequence(F.lit(0), n_of - 1)))
+        routed = held.drop("pieces").unionByName(asked.drop("pieces"))
+    routed = routed.select("part", "role", "rep", *vs, "piece").repartition("part", "piece").sortWithinPartitions("part", "piece", "role")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by part, those to be found first: one part's rows are held, its queries stream by."""
@@ -197,7 +294,8 @@ def neighbours(df: DataFrame, id: str, cols: list[str], k: int, probes: int, que
         for b in batches:
             if not b.num_rows:
                 continue
-            ps, roles, reps, v = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), _stack(b, vs)
+            ps = b.column(0).to_numpy().astype(np.int64) << 32 | b.column(len(vs) + 3).to_numpy()
+            roles, reps, v = b.column(1).to_numpy(), b.column(2).to_numpy(), _stack(b, vs)
             for a, z in zip(c := np.flatnonzero(np.diff(ps, prepend=-1)), np.append(c[1:], len(ps)), strict=True):
                 if ps[a] != part:
                     part, ids, x = ps[a], [], []
@@ -212,7 +310,6 @@ def neighbours(df: DataFrame, id: str, cols: list[str], k: int, probes: int, que
                     if len(i):
                         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(d)], names=["ra", "rb", "distance"])
 
-    routed = kinds.mapInArrow(route, out).repartition("part").sortWithinPartitions("part", "role")
     found = routed.mapInArrow(search, "ra long, rb long, distance double")
     if within is None:
         found = top_n(found, ["ra"], [F.col("distance").asc(), F.col("rb").asc()], k)

@@ -81,12 +81,15 @@ def embeddings(spark, x, extra=()):
     return spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} float" for c in cols) + ", part string"), cols
 
 
-def test_nearest_vectors_have_high_recall(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "PER_PART", 100)
+@pytest.mark.parametrize(("per_part", "max_parts", "part_max", "probes"), [(100, 2048, 20_000, 12), (40, 8, 20_000, 30), (100, 2048, 30, 12), (25, 16, 20, 40)])
+def test_nearest_vectors_have_high_recall(spark, monkeypatch, per_part, max_parts, part_max, probes):
+    """One level of parts and two, parts held whole and in pieces."""
+    for name, value in (("PER_PART", per_part), ("MAX_PARTS", max_parts), ("PART_MAX", part_max)):
+        monkeypatch.setattr(vectors, name, value)
     rng = np.random.default_rng(3)
     x = (rng.normal(size=(3000, 6)) @ rng.normal(size=(6, 6)) * 0.3).astype(np.float32)
     df, cols = embeddings(spark, x)
-    got = vectors.neighbours(df, "id", cols, 10, 12, queries=F.col("id") % 50 == 0).toPandas()
+    got = vectors.neighbours(df, "id", cols, 10, probes, queries=F.col("id") % 50 == 0).toPandas()
     assert set(got.id_a) == set(range(0, 3000, 50)) and (got.groupby("id_a").size() == 10).all()
     hit = 0
     for i, g in got.groupby("id_a"):
@@ -125,7 +128,7 @@ def test_balanced_parts_are_balanced_and_cut_few_edges():
     assert len(size) == 16 and size.min() >= 90 and size.max() <= 110
     assert (part[near] == part[:, None]).mean() > 3 * (1 / 16)
     w = vectors.train_router(x, part, 16)
-    assert (vectors.routes(w, x, 1)[:, 0] == part).mean() > 0.7
+    assert (vectors.Router(w).routes(x, 1)[:, 0] == part).mean() > 0.7
 
 
 def brute_clusters(x, ids, radius, least):
