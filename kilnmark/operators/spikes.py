@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .order_stats import exact_medians
+from ..session import sized_partitions
 from .ordered import Ordered
 
 SAMPLE = 1_000  # readings of a source from which its forest is grown; Spark prunes ranks up to 1,000 before the shuffle
 TREES, LEAVES = 64, 256  # trees of a forest, readings of the sample in each
 WIDER = 0.5  # how far the root's space goes beyond a feature's sampled range, in widths of that range
+HELD = 500_000  # readings that a task holds at once, some 100 bytes each
 ODD = 0.05  # share of a source's sample that counts as odd
 FEATURES = ("level", "volume_level", "difference", "seasonal", "run")
 
@@ -161,7 +163,7 @@ def flag_readings(bars: DataFrame, factor: float = 20.0, run: int = 6, share: fl
     hours = hours.filter("hour is not null and mean is not null").groupBy("source").agg(F.collect_list(F.struct("hour", "mean")).alias("hours"))
 
     lean = base.select("bar_id", "source", F.unix_micros("at").alias("at"), F.hour("at").alias("hour"), F.col("high"), F.col("low"), F.when(usable("close"), F.col("close")).alias("close"), F.col("volume"), *[c.alias(k) for k, c in q.items()], impossible().alias("impossible"))
-    ordered = Ordered(lean, ["source", "at", "bar_id"])
+    ordered = Ordered(lean, ["source", "at", "bar_id"], sized_partitions(bars, HELD))
     halo = run - 1
 
     def kernel(t: pa.Table, start: int, stop: int) -> pa.Table:

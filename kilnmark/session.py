@@ -64,5 +64,10 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def sized_partitions(df: DataFrame, rows: int) -> int:
+    """Partitions for steps that hold a whole one in memory: the session's count, or more if they held over `rows` rows."""
+    return max(partitions(df.sparkSession), -(-df.count() // rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
