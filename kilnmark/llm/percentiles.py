@@ -17,10 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut, partitions
+from ..operators.order_stats import bucket
+from ..session import cut, sized_partitions
 from .topn import _changes, finite, whole
 
 
+HELD = 8_000_000  # values that a task holds at once, 8 bytes each
+
+
 def _runs(t: pa.Table, keys: list[str]) -> np.ndarray:
     """Starts of the runs of equal keys, with the row count as last entry."""
     new = np.zeros(t.num_rows, bool)
@@ -61,7 +65,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, unique: str, at
             yield from out.combine_chunks().to_batches()
 
     packed = T.StructType([*key_fields, T.StructField("_xs", T.BinaryType())])
-    ordered = cut(rows.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(pack, packed))
+    ordered = cut(rows.repartitionByRange(sized_partitions(rows, HELD), *order).sortWithinPartitions(*order).mapInArrow(pack, packed))
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray] | None:
         """Keys of each run, starts of the runs with the count as last entry, all values."""
@@ -128,13 +132,23 @@ def combine(summaries: DataFrame, keys: list[str], m: int, at: list[float]) -> D
     Each stored point stands for n/m rows of its part, its end points for half as many. A group has at most m + 1
     points a part. The rank error is at most 1/m of the rows (plus one row a part), whatever parts are merged."""
     w = F.col("n") / F.lit(m) * F.when((F.col("p") == 0) | (F.col("p") == 1), 0.5).otherwise(1.0)
-    pts = summaries.groupBy(*keys, "x").agg(F.sum(w).alias("w"), F.sum(F.when(F.col("p") == 0, F.col("n")).otherwise(0)).alias("n"))
-    up = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    pts = pts.withColumn("upto", F.sum("w").over(up)).withColumn("n", F.sum("n").over(Window.partitionBy(*keys)))
-    pts = pts.withColumn("mid", F.col("upto") - F.col("w") / 2)
-    tries = pts.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in at])))
-    first = F.min(F.when(F.col("upto") >= F.col("p") * F.col("n") - 1e-9, F.col("x")))
-    return tries.groupBy(*keys, "p", "n").agg(F.coalesce(first, F.max("x")).alias("x"))
+    pts = summaries.groupBy(*keys, "x").agg(F.sum(w).alias("w"), F.sum(F.when(F.col("p") == 0, F.col("n")).otherwise(0)).alias("n")).withColumn("b", bucket(F.col("x")))
+    # Buckets of values first, some thousands a group; then only the points of the few buckets that hold a percentile.
+    every = Window.partitionBy(*keys)
+    up = every.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    by = pts.groupBy(*keys, "b").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+    by = by.withColumns({"upto": F.sum("w").over(up), "n": F.sum("n").over(every), "last": F.max("b").over(every)}).withColumn("start", F.lag("upto", 1).over(every.orderBy("b")))
+    tries = by.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in at]))).withColumn("goal", F.col("p") * F.col("n") - 1e-9)
+    reached = (F.col("upto") >= F.col("goal")) & (F.col("start").isNull() | (F.col("start") < F.col("goal")))
+    wanted = tries.filter(reached | (F.col("b") == F.col("last")) & (F.col("upto") < F.col("goal")))
+    wanted = wanted.select(*[F.col(k).alias("_" + k) for k in keys], F.col("b").alias("_b"), "p", "n", "goal", F.coalesce("start", F.lit(0.0)).alias("start"))
+    same = F.col("b") == F.col("_b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("_" + k))
+    inside = pts.select(*keys, "x", "w", "b").join(wanted, same)
+    upto = F.col("start") + F.sum("w").over(Window.partitionBy(*keys, "p").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    first = F.min(F.when(F.col("upto") >= F.col("goal"), F.col("x")))
+    return inside.withColumn("upto", upto).groupBy(*keys, "p", "n").agg(F.coalesce(first, F.max("x")).alias("x"))
 
 
 MEASURES = ("neural_conviction", "recovery_factor", "slot_15")

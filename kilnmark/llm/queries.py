@@ -51,7 +51,7 @@ def p3_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles per symbol over all months from the months' summaries: rank error at most 1/100."""
     parts = percentiles.rank_summary(_months(spark, sf_dir), ["symbol", "month", "measure"], "value", "sig_id")
-    return percentiles.combine(parts, ["symbol", "measure"], 100, percentiles.AT)
+    return percentiles.combine(parts, ["symbol", "measure"], 100, percentiles.AT).withColumn("x", F.round("x", 3) + 0.0)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +134,15 @@ join (select distinct item_id, run from ({_RUNS.format(id="item_id", words=_WORD
 _MONTH = f"({INSTANT.replace(chr(10), ' ')})"
 _MONTHS = " union all ".join(f"select symbol, strftime({_MONTH}, '%Y-%m') as month, '{m}' as measure, cast({m} as double) as value from signatures where {m} is not null and isfinite({m}) and {_MONTH} is not null" for m in percentiles.MEASURES)
 
+_POINTS = f"select symbol, measure, k, n, q[k + 1] as x from (select symbol, month, measure, count(*) as n, quantile_cont(value, [{', '.join(str(i / 100) for i in range(101))}]) as q from ({_MONTHS}) v group by symbol, month, measure) t, unnest(range(0, 101)) u(k)"
+_COMBINED = f"""
+with pts as (select symbol, measure, x, sum(n / 100.0::double * case when k in (0, 100) then 0.5 else 1.0 end) as w, sum(case when k = 0 then n else 0 end) as n from ({_POINTS}) t group by symbol, measure, x),
+c as (select symbol, measure, x, sum(w) over (partition by symbol, measure order by x rows unbounded preceding) as upto, sum(n) over (partition by symbol, measure) as n from pts),
+a as (select unnest([{', '.join(f'{p}::double' for p in percentiles.AT)}]) as p)
+select symbol, measure, p, cast(n as bigint) as n, round(coalesce(min(x) filter (upto >= p * n - 1e-9), max(x)), 3) + 0.0 as x from c, a group by symbol, measure, p, n"""
+
 SQL = {
+    "p3_combined": _COMBINED,
     "p1_found": _TOP.format(more="", n=5),
     "p1_ranked": _TOP.format(more=", cast(slot_31 as double) as quality, cast(place as integer) as place", n=20),
     "p2_found": _CLOSE,
