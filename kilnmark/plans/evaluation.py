@@ -107,9 +107,16 @@ def a29(spark, sf_dir):
     return g.select("horizon", "n", r6("r").alias("r"), r6(t_of_r(F.col("r"), F.col("n")), 4).alias("t"))
 
 
-@q("a29_horizon_p_values")
+def _p_sql(keys: str) -> str:
+    """Two-sided p of tt(keys, t, v): one less the density between -|t| and |t|, by Simpson's rule."""
+    density = "exp(lgamma((v + 1) / 2) - lgamma(v / 2) - 0.5 * ln(v * pi()) - (v + 1) / 2 * ln(1 + pow(abs(t) * j / 4000.0, 2) / v))"
+    weight = "case when j in (0, 4000) then 1 when j % 2 = 1 then 4 else 2 end"
+    return f"select {keys} round(any_value(t), 4) as t, round(greatest(0.0, 1 - 2 * any_value(abs(t)) / 12000.0 * sum({weight} * {density})), 6) as p from tt, range(0, 4001) g(j)"
+
+
+@q("a29_horizon_p_values", sql(_p_sql("horizon,") + " group by horizon", _US, RET, _HZ, "tt as (select horizon, r * sqrt((n - 2) / (1 - r * r)) as t, (n - 2)::double as v from (select horizon, count(*) as n, corr(quality, ret) as r from hz group by horizon) x where n > 2 and abs(r) < 1)"))
 def a29p(spark, sf_dir):
-    g = horizon_table(spark, sf_dir).withColumn("t", t_of_r(F.col("r"), F.col("n")))
+    g = horizon_table(spark, sf_dir).withColumn("t", t_of_r(F.col("r"), F.col("n"))).filter("t is not null")
     return g.select("horizon", r6("t", 4).alias("t"), r6(p_values(F.col("t"), (F.col("n") - 2).cast("double"))).alias("p"))
 
 
@@ -173,9 +180,9 @@ def a36(spark, sf_dir):
     return _paired(spark, sf_dir).filter("t is not null").select("n", r6("m", 7).alias("mean_difference"), r6("t", 4).alias("t"))
 
 
-@q("a36_paired_p")
+@q("a36_paired_p", sql(_p_sql("") + " having any_value(t) is not null", _US, _ABL, "tt as (select m / (s / sqrt(n)) as t, (n - 1)::double as v from (select count(*) as n, avg(x - y) as m, stddev_samp(x - y) as s from (select shard, max(case when variant = 'blend' then mean_gain end) as x, max(case when variant = 'veto' then mean_gain end) as y from me group by shard) p where x is not null and y is not null) e where s > 0)"))
 def a36p(spark, sf_dir):
-    return _paired(spark, sf_dir).select(r6("t", 4).alias("t"), r6(p_values(F.col("t"), (F.col("n") - 1).cast("double"))).alias("p"))
+    return _paired(spark, sf_dir).filter("t is not null").select(r6("t", 4).alias("t"), r6(p_values(F.col("t"), (F.col("n") - 1).cast("double"))).alias("p"))
 
 
 _LEDGER = [f"slot_{i:02d}" for i in range(15)]
@@ -198,7 +205,9 @@ def a37(spark, sf_dir):
     return got.select("slot", "n", r6("mean").alias("mean"), r6("deviation").alias("deviation"), "least", "most", *[r6(c).alias(c) for c in ("p05", "median", "p95", "rho")])
 
 
-@q("a37_suggested_weights", None)
+@q("a37_suggested_weights", f"""with led as ({q.sql["a37_calibration_ledger"]}),
+w as (select slot, greatest(0.02, least(0.18, abs(rho) / greatest(sum(abs(rho)) over (), 1e-12))) as w from led)
+select slot, round(w / sum(w) over (), 6) + 0.0 as weight from w""")
 def a37w(spark, sf_dir):
     """Weights in proportion to absolute rank correlation, each within [0.02, 0.18], scaled to sum to 1."""
     led = a37(spark, sf_dir).select("slot", F.abs("rho").alias("a"))

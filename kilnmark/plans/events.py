@@ -49,7 +49,13 @@ def t01(spark, sf_dir):
     return flows.drained(flows.once(rows, ["symbol", "ts"], "ts", "36500 days"), "once").groupBy("symbol").agg(F.count("*").alias("n"))
 
 
-@q("t03_stream_buffer")
+_SEEN = """
+with e as (select event_type as key, epoch_us(ts) / 1e6 as seconds, value, row_number() over w as i, lag(epoch_us(ts) / 1e6) over w as before from events window w as (partition by event_type order by epoch_us(ts), value))
+select a.key, a.seconds, count(b.i) as seen, round(coalesce(count(b.i) filter (b.value <= a.value) / nullif(count(b.i), 0)::double, any_value(a.value)), 6) + 0.0 as share
+from e a left join e b on b.key = a.key and b.i < a.i and b.seconds >= a.before - 604800 group by a.key, a.seconds, a.i"""
+
+
+@q("t03_stream_buffer", _SEEN)
 def t03(spark, sf_dir):
     """Rank of every event's value in its type's week before, kept as state by type."""
     rows = flows.stream_table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), (us("ts") / 1e6).alias("seconds"), "value")

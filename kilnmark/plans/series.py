@@ -107,7 +107,10 @@ def w10(spark, sf_dir):
     return windowed(spark, sf_dir, lambda w: S.pivots(w, CFG)[:2], {"resist": F.col("resist"), "support": F.col("support")}, 150, 4)
 
 
-@q("w11_ewm")
+_DECAY = "pow(1 - {a}::double, b.idx - f.idx) * case when f.idx = 0 then 1.0 else {a}::double end"
+
+
+@q("w11_ewm", sql(f"""select b.symbol, b.ts_us, round(sum({_DECAY.format(a='(2.0::double / 22)')} * f."close"), 4) as ewm from b join b f on f.symbol = b.symbol and f.idx > b.idx - 450 and f.idx <= b.idx group by b.symbol, b.ts_us""", RET))
 def w11(spark, sf_dir):
     """Exponentially weighted mean of the close, span 21: a block kernel; its halo is far longer than its memory."""
     import pyarrow as pa
@@ -120,7 +123,7 @@ def w11(spark, sf_dir):
         return t.append_column("ewm", pa.array(S.ewm(t["close"].to_numpy(), 21)))
 
     got = keep.groupBy("symbol", "block").applyInArrow(run, f"symbol string, block long, {IDX} long, {CORE} boolean, ts_us long, close double, ewm double")
-    return got.filter(CORE).select("symbol", "ts_us", r6("ewm").alias("ewm"))
+    return got.filter(CORE).select("symbol", "ts_us", r6("ewm", 4).alias("ewm"))
 
 
 @q("w17_rolling_max", _plain(f'max(volume) over {_w(288)} as peak'))
@@ -263,6 +266,8 @@ def _slot(name: str, text: str | None = None, digits: int = 5):
     q(f"f{name[5:]}_{name}", text)(run)
 
 
+# Full windows of returns without gaps, as lists, with their mean and deviation.
+_LISTS = """li as (select * from (select symbol, ts_us, list(r) over f as l, avg(r) over f as m, stddev_pop(r) over f as d, count(r) over f as n from b window f as (partition by symbol order by ts rows between {n} - 1 preceding and current row)) q where n = {n})"""
 _LAGS = ", ".join(f"lag(r, {k}) over (partition by symbol order by ts) as r{k}" for k in range(1, 6))
 
 
@@ -272,11 +277,41 @@ def _ac(k: int) -> str:
   and var_pop(case when r is not null and r{k} is not null then r{k} end) over {f} > 0 then abs(corr(r, r{k}) over {f}) end as a{k}"""
 
 
-_slot("slot_00")
+_slot(
+    "slot_00",
+    sql(
+        "select symbol, ts_us, round(greatest(-1.0, least(1.0, (bought - sold) / (bought + sold + 1e-12))), 5) as slot_00 from e",
+        RET,
+        _BVC,
+        "x as (select *, " + _gate('min("low")', '"low"', 24) + " as lo, " + _gate('max("high")', '"high"', 24) + " as hi from i)",
+        'n as (select symbol, ts_us, idx, case when lo is not null and ("low" - lo) / greatest(hi - lo, 1e-12) < 0.05 then buy else 0.0 end as at_low, case when lo is not null and (hi - "high") / greatest(hi - lo, 1e-12) < 0.05 then sell else 0.0 end as at_high from x)',
+        f"e as (select b.symbol, b.ts_us, sum({_DECAY.format(a='(2.0::double / 2.2)')} * f.at_low) as bought, sum({_DECAY.format(a='(2.0::double / 2.2)')} * f.at_high) as sold from n b join n f on f.symbol = b.symbol and f.idx > b.idx - 60 and f.idx <= b.idx group by b.symbol, b.ts_us)",
+    ),
+)
 _slot("slot_01", sql(f"select symbol, ts_us, round(coalesce({_gate('avg(imb)', 'imb', 100)}, 0.0), 5) as slot_01 from i", RET, _BVC))
-_slot("slot_02")
+_slot(
+    "slot_02",
+    sql(
+        """select b.symbol, b.ts_us, round(coalesce(h, 0.0), 5) as slot_02 from b left join (
+  select symbol, ts_us, case when max(total) < 1e-12 then 0.0 else -sum(case when p / greatest(total, 1e-12) > 1e-12 then p / greatest(total, 1e-12) * ln(p / greatest(total, 1e-12)) else 0.0 end) end as h
+  from (select *, sum(p) over (partition by symbol, ts_us) as total from pw) y group by symbol, ts_us) z on z.symbol = b.symbol and z.ts_us = b.ts_us""",
+        RET,
+        _LISTS.format(n=72),
+        "ks as (select k, list(cos(2 * pi() * k * j / 72) order by j) as c, list(sin(2 * pi() * k * j / 72) order by j) as s from range(0, 37) a(k), range(0, 72) d(j) group by k)",
+        "pw as (select symbol, ts_us, pow(list_inner_product(v, c), 2) + pow(list_inner_product(v, s), 2) as p from (select symbol, ts_us, list_transform(l, lambda x: x - m) as v from li) u, ks)",
+    ),
+)
 _slot("slot_03", sql(f"select symbol, ts_us, round(coalesce(ln(({_gate('var_samp(r)', 'r', 12)} + 1e-12) / ({_gate('var_samp(r)', 'r', 144)} + 1e-12)), 0.0), 5) as slot_03 from b", RET))
-_slot("slot_04")
+_slot(
+    "slot_04",
+    sql(
+        """select b.symbol, b.ts_us, round(case when d is null or d < 1e-12 or span / (d + 1e-12) < 1e-12 then 0.0 else 0.5 - ln(span / (d + 1e-12)) / ln(120) end, 5) as slot_04 from b left join (
+  select symbol, ts_us, max(c) - min(c) as span, any_value(d) as d from (select symbol, ts_us, d, sum(x - m) over (partition by symbol, ts_us order by j) as c from (select symbol, ts_us, m, d, unnest(l) as x, unnest(range(0, 120)) as j from li) u) y group by symbol, ts_us) z
+  on z.symbol = b.symbol and z.ts_us = b.ts_us""",
+        RET,
+        _LISTS.format(n=120),
+    ),
+)
 _slot(
     "slot_05",
     sql(
@@ -286,7 +321,16 @@ _slot(
         f"a as (select *, {', '.join(_ac(k) for k in range(1, 6))} from l)",
     ),
 )
-_slot("slot_06")
+_RIBBON = ", ".join(f"abs(any_value(b.\"close\") - sum({_DECAY.format(a=f'(2.0::double / {s + 1})')} * f.\"close\"))" for s in CFG.ribbon_spans)
+_slot(
+    "slot_06",
+    sql(
+        f"select symbol, ts_us, round(coalesce(greatest(-10.0, least(10.0, (x - avg(x) over {_w(12)}) / greatest(stddev_samp(x) over {_w(12)}, 1e-12))), 0.0), 4) as slot_06 from x",
+        RET,
+        f"x as (select b.symbol, b.ts_us, any_value(b.ts) as ts, list_avg([{_RIBBON}]) as x from b join b f on f.symbol = b.symbol and f.idx > b.idx - 1100 and f.idx <= b.idx group by b.symbol, b.ts_us)",
+    ),
+    4,
+)
 _slot(
     "slot_07",
     sql(
@@ -322,8 +366,34 @@ _slot(
     ),
 )
 _slot("slot_12", sql(f"select symbol, ts_us, round({_zscore('m', 12)}, 4) as slot_12 from m", RET, _BVC, 'm as (select *, "close" * (1 + 0.65 * tilt) - "close" as m from i)'), 4)
-_slot("slot_13")
-_slot("slot_14")
+_BIN = "least(9, greatest(0, cast(trunc((x - lo) / (hi - lo) * 10) as integer)))"
+_slot(
+    "slot_13",
+    sql(
+        """select b.symbol, b.ts_us, round(coalesce(h, 0.0), 5) as slot_13 from b left join (
+  select symbol, ts_us, -sum(n / 96.0::double * ln(n / 96.0::double + 1e-12)) as h from (select symbol, ts_us, bin, count(*) as n from k group by symbol, ts_us, bin) y group by symbol, ts_us) z on z.symbol = b.symbol and z.ts_us = b.ts_us""",
+        RET,
+        _LISTS.format(n=96),
+        "g as (select symbol, ts_us, case when hi = lo then lo - 0.5 else lo end as lo, case when hi = lo then hi + 0.5 else hi end as hi, unnest(l) as x from (select symbol, ts_us, l, list_min(l) as lo, list_max(l) as hi from li) u)",
+        f"f as (select *, (hi - lo) / 10 as width, {_BIN} as i from g)",
+        "h as (select *, case when x < lo + i * width then i - 1 else i end as i1 from f)",
+        "k as (select symbol, ts_us, least(9, greatest(0, case when i1 < 9 and x >= lo + (i1 + 1) * width then i1 + 1 else i1 end)) as bin from h)",
+    ),
+)
+_slot(
+    "slot_14",
+    sql(
+        f"""select symbol, ts_us, round(case when count(*) over {_w(200)} >= 200 then greatest(0.0, least(1.0, raw / greatest(max(raw) over {_w(200)}, 1e-12))) else 0.0 end, 5) as slot_14
+  from (select b.symbol, b.ts, b.ts_us, coalesce(speed, 0.0) as raw from b left join sp on sp.symbol = b.symbol and sp.ts_us = b.ts_us) z""",
+        RET,
+        "li as (select * from (select symbol, ts_us, list(coalesce(r, 0.0)) over f as l, avg(coalesce(r, 0.0)) over f as m, count(*) over f as n from b window f as (partition by symbol order by ts rows between 199 preceding and current row)) q where n = 200)",
+        # The discrete Hilbert transform of an even window, row by row; the phase's steps are taken within half a turn.
+        "hk as (select k, list(case when (k - j) % 2 <> 0 then 0.01 / tan(pi() * (k - j) / 200) else 0.0 end order by j) as h from range(0, 200) a(k), range(0, 200) d(j) group by k)",
+        "ph as (select symbol, ts_us, k, atan2(list_inner_product(v, h), v[k + 1]) as phase from (select symbol, ts_us, list_transform(l, lambda x: x - m) as v from li) u, hk)",
+        "st as (select symbol, ts_us, phase - lag(phase) over (partition by symbol, ts_us order by k) as d from ph)",
+        "sp as (select symbol, ts_us, avg(abs(d - 2 * pi() * round(d / (2 * pi())))) as speed from st group by symbol, ts_us)",
+    ),
+)
 
 
 @q("f15_composite")

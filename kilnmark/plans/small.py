@@ -61,7 +61,7 @@ def s03(spark, sf_dir):
     return spark.range(1).select(B.last_complete_day(F.lit("2016-01-31").cast("date")).alias("day"))
 
 
-@q("s05_retry_after")
+@q("s05_retry_after", "select header, greatest(0.0, coalesce(try_cast(header as double), epoch(try_strptime(header, '%a, %d %b %Y %H:%M:%S GMT')), 1.0)) as seconds from (values ('7'), ('2.5'), ('Thu, 01 Jan 1970 00:00:30 GMT'), ('soon'), ('-4')) t(header)")
 def s05(spark, sf_dir):
     return spark.createDataFrame([(t, klines.retry_after(t, 0.0)) for t in ("7", "2.5", "Thu, 01 Jan 1970 00:00:30 GMT", "soon", "-4")], "header string, seconds double")
 

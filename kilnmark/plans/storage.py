@@ -48,7 +48,8 @@ def s16(spark, sf_dir):
     return table(spark, sf_dir, "signatures").agg(F.count("*").alias("n"), F.count("timestamp").alias("with_time"))
 
 
-@q("s17_catalog")
+@q("s17_catalog", f"""select column_name as col_name, case column_type when 'BIGINT' then 'bigint' when 'VARCHAR' then 'string' when 'DOUBLE' then 'double' when 'BOOLEAN' then 'boolean' else lower(split_part(column_type, ' ', 1)) end as data_type
+from (describe {sql('select * from sigs')})""")
 def s17(spark, sf_dir):
     """Columns and types of the archive view, as the catalog describes them."""
     sigs(spark, sf_dir).createOrReplaceTempView("described_signatures")
@@ -160,7 +161,9 @@ archive:
 """
 
 
-@q("s28_config")
+# What the sample says, by key, as JSON.
+@q("s28_config", """select * from (values ('features.interval', '"5m"'), ('features.slots', '["slot_00", "slot_01"]'), ('features.slot_00.lookback', '24'), ('features.slot_00.threshold', '0.05'), ('features.slot_00.kind', '"absorb, signed"'),
+('archive.partition_by', '["year", "month"]'), ('archive.least_quality', '0.0'), ('archive.note', 'null')) t(key, value)""")
 def s28(spark, sf_dir):
     got = config.flat(config.parse(SAMPLE_CONFIG))
     return spark.createDataFrame([(k, json.dumps(v)) for k, v in sorted(got.items())], "key string, value string")
