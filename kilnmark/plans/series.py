@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -396,7 +397,30 @@ _slot(
 )
 
 
-@q("f15_composite")
+def _composite_sql() -> tuple[list[str], str]:
+    """Common tables of every slot without rounding, and the composite: static bounds or the range of 288 rows."""
+    tables, names = [], [f"slot_{i:02d}" for i in range(15)]
+    for n in names:
+        text = re.sub(rf", \d\)( \+ 0\.0\))? as {n}\s+from", rf", 15)\1 as {n} from", q.sql[f"f{n[5:]}_{n}"])
+        tables.append(f"{n}_t as ({text})")
+    terms = []
+    for n, weight in CFG.weights.items():
+        low, high = CFG.bounds.get(n, (None, None))
+        if low is None:
+            y = f"({n} - min({n}) over {_w(288)}) / greatest(max({n}) over {_w(288)} - min({n}) over {_w(288)}, 1e-12)"
+        else:
+            y = f"least(abs({n}), {high}) / ({high} + 1e-12)" if low < 0 else f"(least(greatest({n}, {low}), {high}) - {low}) / ({high} - {low} + 1e-12)"
+        terms.append(f"{weight}::double * coalesce(least(1.0, greatest(0.0, {y})), 0.0)")
+    joined = " ".join(f"join {n}_t using (symbol, ts_us)" for n in names[1:])
+    tables.append(f"slots as (select symbol, ts_us, ts_us as ts, {', '.join(names)} from slot_00_t {joined})")
+    tables.append(f"composite as (select *, least(1.0, greatest(0.0, {' + '.join(terms)})) as slot_15 from slots)")
+    return tables, ", ".join(f"round({n}, 5) + 0.0 as {n}" for n in [*names, "slot_15"])
+
+
+_COMPOSITE, _ROUNDED = _composite_sql()
+
+
+@q("f15_composite", f"with {', '.join(_COMPOSITE)} select symbol, ts_us, {_ROUNDED} from composite")
 def f15(spark, sf_dir):
     """All slots and the composite of every bar."""
     df = core(S.all_slots(bars(spark, sf_dir)))
@@ -406,7 +430,25 @@ def f15(spark, sf_dir):
 # ---- Signatures from bars --------------------------------------------------------------------------------------
 
 
-@q("f20_signatures")
+_AHEAD = "over (partition by b.symbol order by b.ts rows between 1 following and 288 following)"
+_FOLLOWED = [
+    f'fo as (select b.symbol, b.ts, b.ts_us, idx, r, slot_00, slot_15, lead("open") over (partition by b.symbol order by b.ts) as entry, max("high") {_AHEAD} as top, min("low") {_AHEAD} as bottom, count(*) {_AHEAD} as coming from b join composite c on c.symbol = b.symbol and c.ts_us = b.ts_us)',
+    f"vo as (select *, {_gate('stddev_samp(r)', 'r', 48)} as vol48, coalesce({_gate('stddev_samp(r)', 'r', 72, 1)}, 0.0) as vol72, (top - entry) / (entry + 1e-12) as up, (entry - bottom) / (entry + 1e-12) as down from fo)",
+    "ga as (select *, coalesce(vol48 - lag(vol48) over (partition by symbol order by ts), 0.0) as slot_24, coalesce(case when slot_00 >= 0 then up else down end, 0.0) as gain, coalesce(case when slot_00 >= 0 then down else up end, 0.0) as pain from vo)",
+    "si as (select *, least(50.0, greatest(0.0, gain / (pain + 1e-12))) as recovery from ga where idx >= 500 and coming = 288 and slot_15 >= 0)",
+]
+
+
+@q(
+    "f20_signatures",
+    sql(
+        """select symbol, ts_us, true as signature_flag, round(slot_15, 5) as slot_15, 0.05::double as neural_conviction, 0.0::double as conviction_threshold, round(slot_24, 5) as slot_24, round(slot_15 * (1 + vol72 * sqrt(72)), 5) as slot_25,
+  round(abs(slot_15 - 0.05), 5) as slot_27, 0.0::double as slot_28, round(recovery, 5) as slot_30, round(slot_15, 5) as slot_31, round(greatest(gain, 0.0), 5) as mfe, round(greatest(pain, 0.0), 5) as mae, round(recovery, 5) as recovery_factor from si""",
+        RET,
+        *_COMPOSITE,
+        *_FOLLOWED,
+    ),
+)
 def signatures(spark, sf_dir):
     """Bars to signature rows: composite, gate, auxiliary and metadata slots, forward outcomes."""
     got = outcomes.signature_rows(bars(spark, sf_dir))
