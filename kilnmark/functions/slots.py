@@ -1,8 +1,8 @@
 """The structural features of a bar, slot_00 to slot_14, and their weighted composite slot_15.
 
 Slots that windows can express are columns; those that need a transform of every window, or a recursion, are computed
-by one Arrow kernel per block of a series. All look back only, so a block with the halo BACK gives the same values as
-the whole series.
+by one Arrow kernel per block of a series. All look back only: a block with the halo BACK gives the same values as the
+whole series, the regime slot with the highest volatility before its halo besides.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import windows as W
-from ..operators.blocks import CORE, IDX, along, positions, with_halo
+from ..operators.blocks import BLOCK, CORE, IDX, along, positions, with_halo
 from ..operators.windows import EPS
 
 BACK = 1_728  # rows before a block: two times the longest stack of windows, and far beyond the memory of any average
@@ -196,10 +196,22 @@ def microprice(w: WindowSpec, cfg: SlotConfig) -> list[Columns]:
     return [{"micro": F.col("close") * (1 + cfg.micro_coefficient * tilt) - F.col("close")}, {"slot_12": W.zscore(F.col("micro"), w, cfg.micro_window)}]
 
 
-def regimes(cfg: SlotConfig) -> Column:
-    """1 where volatility lies in the highest of regime_count equal-width classes between vol_low and vol_high."""
-    edge = F.col("vol_low") + (F.col("vol_high") - F.col("vol_low")) * ((cfg.regime_count - 1) / cfg.regime_count)
-    return ((F.col("vol_high") > F.col("vol_low")) & (F.col("volatility") > edge)).cast("double")
+def seen_before(first: DataFrame, cfg: SlotConfig) -> DataFrame:
+    """symbol, block, vol_before: the highest volatility of a series' bars that precede a block's halo.
+
+    first: core rows with their volatility. The halo's first bars, whose own windows it cuts, count as preceding."""
+    at = F.floor((F.col(IDX) + (BACK - cfg.regime_window - 1)) / BLOCK).alias("block")
+    tops = first.groupBy("symbol", at).agg(F.max("volatility").alias("_top"))
+    w = Window.partitionBy("symbol").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return tops.select("symbol", "block", F.max("_top").over(w).alias("vol_before"))
+
+
+def regimes(w: WindowSpec, cfg: SlotConfig) -> list[Columns]:
+    """1 where volatility lies in the highest of regime_count equal-width classes up to its highest value so far.
+
+    The lowest value so far is 0, that of a series' first bars. Needs vol_before (see seen_before)."""
+    top = F.greatest(F.coalesce("vol_before", F.lit(0.0)), F.max("volatility").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return [{"vol_high": top}, {"slot_08": (F.col("volatility") > F.col("vol_high") * ((cfg.regime_count - 1) / cfg.regime_count)).cast("double")}]
 
 
 # ---- Kernels over whole windows --------------------------------------------------------------------------------
@@ -394,7 +406,7 @@ def composite(w: WindowSpec, cfg: SlotConfig) -> list[Columns]:
 
 
 def haloed(bars: DataFrame, back: int = BACK, ahead: int = 0) -> DataFrame:
-    return with_halo(positions(bars, "symbol", ["ts"]), back, ahead)
+    return with_halo(positions(bars, "symbol", ["ts"]), back, ahead, BLOCK)
 
 
 def single_slot(bars: DataFrame, name: str, cfg: SlotConfig = SlotConfig()) -> DataFrame:
@@ -407,29 +419,26 @@ def single_slot(bars: DataFrame, name: str, cfg: SlotConfig = SlotConfig()) -> D
     else:
         df = staged(df, REGISTRY[name](along(), cfg))
     if name == "slot_08":
-        return with_regimes(df, cfg).select("symbol", "ts", name)
+        df = with_regimes(df, df.filter(CORE), cfg)
     return df.filter(CORE).select("symbol", "ts", name)
 
 
-def with_regimes(df: DataFrame, cfg: SlotConfig) -> DataFrame:
-    """Core rows of df with slot_08, cut by the extremes of the whole series' volatility."""
-    own = df.filter(CORE)
-    span = own.groupBy("symbol").agg(F.min("volatility").alias("vol_low"), F.max("volatility").alias("vol_high"))
-    return own.join(span, "symbol").withColumn("slot_08", regimes(cfg))
+def with_regimes(df: DataFrame, first: DataFrame, cfg: SlotConfig) -> DataFrame:
+    """df with slot_08; first: core rows with their volatility."""
+    return staged(df.join(seen_before(first, cfg), ["symbol", "block"], "left"), regimes(along(), cfg))
 
 
 def all_slots(bars: DataFrame, cfg: SlotConfig = SlotConfig(), ahead: int = 0) -> DataFrame:
     """Haloed rows with slot_00 to slot_15; filter on the core column for each bar once.
 
-    The regime slot needs the extremes of each series' volatility, which a first pass gathers."""
+    The regime slot needs the highest volatility before each block, which a first pass gathers."""
     w = along()
     df = haloed(bars, BACK, ahead)
     native = [base(w, cfg), *[f(w, cfg) for k, f in REGISTRY.items() if k not in BULK_SLOTS or k == "slot_00"]]
     first = staged(staged(df, base(w, cfg)[:1]), regime_volatility(w, cfg)).filter(CORE)
-    span = first.groupBy("symbol").agg(F.min("volatility").alias("vol_low"), F.max("volatility").alias("vol_high"))
     for stages in native:
         df = staged(df, stages)
-    df = df.join(span, "symbol").withColumn("slot_08", regimes(cfg))
+    df = with_regimes(df, first, cfg)
     keep = ["symbol", "interval", "ts", "open", "high", "low", "close", "volume", IDX, "block", CORE, "r", "at_low", "at_high"]
     names = [f"slot_{i:02d}" for i in range(15)]
     df = df.select(*keep, *[n for n in names if n not in BULK_SLOTS])

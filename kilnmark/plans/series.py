@@ -344,7 +344,7 @@ _slot(
     ),
     4,
 )
-_slot("slot_08", sql("select symbol, ts_us, case when max(vol) over (partition by symbol) > min(vol) over (partition by symbol) and vol > min(vol) over (partition by symbol) + (max(vol) over (partition by symbol) - min(vol) over (partition by symbol)) * 0.75 then 1.0 else 0.0 end as slot_08 from v8", RET, f"v8 as (select *, coalesce({_gate('stddev_samp(coalesce(r, 0.0))', 'coalesce(r, 0.0)', 288)}, 0.0) as vol from b)"))
+_slot("slot_08", sql("select symbol, ts_us, case when vol > max(vol) over (partition by symbol order by ts rows unbounded preceding) * 0.75 then 1.0 else 0.0 end as slot_08 from v8", RET, f"v8 as (select *, coalesce({_gate('stddev_samp(coalesce(r, 0.0))', 'coalesce(r, 0.0)', 288)}, 0.0) as vol from b)"))
 _slot("slot_09", sql("select symbol, ts_us, round(coalesce(case when imb is not null then greatest(0.0, least(1.0, (imb - 0.85) / (1 - 0.85 + 1e-12))) end, 0.0), 5) as slot_09 from i", RET, _BVC))
 _slot(
     "slot_10",
