@@ -286,7 +286,7 @@ _slot(
         _BVC,
         "x as (select *, " + _gate('min("low")', '"low"', 24) + " as lo, " + _gate('max("high")', '"high"', 24) + " as hi from i)",
         'n as (select symbol, ts_us, idx, case when lo is not null and ("low" - lo) / greatest(hi - lo, 1e-12) < 0.05 then buy else 0.0 end as at_low, case when lo is not null and (hi - "high") / greatest(hi - lo, 1e-12) < 0.05 then sell else 0.0 end as at_high from x)',
-        f"e as (select b.symbol, b.ts_us, sum({_DECAY.format(a='(2.0::double / 2.2)')} * f.at_low) as bought, sum({_DECAY.format(a='(2.0::double / 2.2)')} * f.at_high) as sold from n b join n f on f.symbol = b.symbol and f.idx > b.idx - 60 and f.idx <= b.idx group by b.symbol, b.ts_us)",
+        f"e as (select b.symbol, b.ts_us, sum({_DECAY.format(a='(2.0::double / 2.2)')} * f.at_low) as bought, sum({_DECAY.format(a='(2.0::double / 2.2)')} * f.at_high) as sold from n b join n f on f.symbol = b.symbol and f.idx > b.idx - 340 and f.idx <= b.idx group by b.symbol, b.ts_us)",
     ),
 )
 _slot("slot_01", sql(f"select symbol, ts_us, round(coalesce({_gate('avg(imb)', 'imb', 100)}, 0.0), 5) as slot_01 from i", RET, _BVC))
@@ -401,7 +401,7 @@ def _composite_sql() -> tuple[list[str], str]:
     """Common tables of every slot without rounding, and the composite: static bounds or the range of 288 rows."""
     tables, names = [], [f"slot_{i:02d}" for i in range(15)]
     for n in names:
-        text = re.sub(rf", \d\)( \+ 0\.0\))? as {n}\s+from", rf", 15)\1 as {n} from", q.sql[f"f{n[5:]}_{n}"])
+        text = re.sub(rf", \d\)( \+ 0\.0\))? as {n}\s+from", rf", 290)\1 as {n} from", q.sql[f"f{n[5:]}_{n}"])
         tables.append(f"{n}_t as ({text})")
     terms = []
     for n, weight in CFG.weights.items():
