@@ -87,14 +87,14 @@ def s11(spark, sf_dir):
     return spark.read.option("recursiveFileLookup", "true").parquet(path).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
-@q("s19_single_rows", sql("select count(*) as n from (select * from us where quality >= 0.5 order by sig_id limit 3) t", _US))
+@q("s19_single_rows", sql("select max(sig_id) as sig_id from us where quality >= 0.0", _US))
 def s19(spark, sf_dir):
-    """Rows stored one by one, the degenerate batch."""
-    path = work_path(spark, "single-rows")
-    s = unique_sigs(spark, sf_dir).filter("quality >= 0.5")
-    for r in s.select("sig_id").orderBy("sig_id").limit(3).collect():
-        store.store_batch(s.filter(F.col("sig_id") == r["sig_id"]), path, replace=False)
-    return spark.read.parquet(path).agg(F.count("*").alias("n"))
+    """The newest row stored by itself, the degenerate batch, through gate and partition fields."""
+    path = work_path(spark, "single-row")
+    s = unique_sigs(spark, sf_dir).filter("quality >= 0.0")
+    newest = s.agg(F.max("sig_id")).first()[0]
+    store.store_batch(s.filter(F.col("sig_id") == F.lit(newest)), path, replace=False)
+    return spark.read.parquet(path).select("sig_id")
 
 
 @q("x05_shard_plan", "select symbol, epoch_us(a) as start_us, epoch_us(least(a + interval 15 days, z)) as stop_us from (select symbol, unnest(generate_series(date_trunc('day', lo), hi, interval 15 days)) as a, hi as z from (select symbol, min(cast(datetime as timestamp)) as lo, max(cast(datetime as timestamp)) + interval 1 second as hi from ohlcv where datetime >= timestamptz '2014-01-01 00:00:00+00' group by symbol) t) u where a < z")

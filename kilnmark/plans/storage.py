@@ -18,11 +18,11 @@ q = Registry()
 
 def _stored(spark, sf_dir):
     path = work_path(spark, "archive")
-    store.store_batch(unique_sigs(spark, sf_dir), path, least=0.5)
+    store.store_batch(unique_sigs(spark, sf_dir), path, least=0.0)
     return path
 
 
-_GATED = "g as (select * from us where quality >= 0.5)"
+_GATED = "g as (select * from us where quality >= 0.0)"
 
 
 @q("s12_partition_scan", sql("select sig_id from g where strftime(ts, '%Y') = '2015' and strftime(ts, '%m') = '08'", _US, _GATED))
@@ -60,14 +60,14 @@ def s17(spark, sf_dir):
 def s18(spark, sf_dir):
     """Stored twice over: the second time replaces the same partitions."""
     path = _stored(spark, sf_dir)
-    store.store_batch(unique_sigs(spark, sf_dir), path, least=0.5)
+    store.store_batch(unique_sigs(spark, sf_dir), path, least=0.0)
     return spark.read.parquet(path).groupBy("year", "month", "symbol").agg(F.count("*").alias("n"))
 
 
 @q("s20_appended_twice", sql("select 2 * count(*) as n from g", _US, _GATED))
 def s20(spark, sf_dir):
     path = _stored(spark, sf_dir)
-    store.store_batch(unique_sigs(spark, sf_dir), path, least=0.5, replace=False)
+    store.store_batch(unique_sigs(spark, sf_dir), path, least=0.0, replace=False)
     return spark.read.parquet(path).agg(F.count("*").alias("n"))
 
 

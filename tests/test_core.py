@@ -269,3 +269,12 @@ def test_crowded_keys_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(spread, "HEAVY", 5)
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(80)}, **{100 + i: 100 for i in range(41)}, 499: 499, 500: 499}
+
+
+def test_many_wanted_buckets_meet_in_a_shuffle(spark, monkeypatch):
+    from kilnmark.operators import order_stats
+
+    monkeypatch.setattr(order_stats, "BROADCAST_ROWS", 0)
+    df = spark.createDataFrame([("a", float(i)) for i in range(101)] + [(None, -2.0), (None, 4.0), ("b", None)], "g string, x double")
+    got = {(r["grp"], r["p"]): r["x"] for r in order_stats.exact_quantiles(df, "g", {"x": F.col("x")}, [0.25, 0.5]).collect()}
+    assert got == {("a", 0.25): 25.0, ("a", 0.5): 50.0, (None, 0.25): pytest.approx(-0.5), (None, 0.5): pytest.approx(1.0)}

@@ -150,3 +150,10 @@ def test_candle_pages(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("candles").count() == 3
+
+
+def test_many_rows_left_out_meet_in_a_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(compaction, "BROADCAST_IDS", 0)
+    s, f = signatures(spark)
+    merged, doubles, stored = compaction.compact_signatures(s, f, f"{tmp_path}/out")
+    assert stored.count() == s.count() - doubles.filter("sig_id <> keeper").count() and stored.select("sig_id").distinct().count() == stored.count()
