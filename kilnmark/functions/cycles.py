@@ -228,13 +228,14 @@ def pearson(x: np.ndarray, y: np.ndarray) -> float:
 RELEVANCE = {"spearman": spearman, "pearson": pearson, "mutual_info": lambda x, y: mutual_information(x, y, max(2, math.ceil(1 + math.log2(max(len(x), 2)))))}
 
 
-def adaptive_weights(x: dict[str, np.ndarray], y: np.ndarray, static: dict[str, float], metric: str = "spearman", short: int = 2_000, shrink: float = 0.65, stability: float = 1.0, previous: dict[str, float] | None = None, step: float = 0.3, low: float = 0.02, high: float = 0.18) -> dict[str, float]:
+def adaptive_weights(x: dict[str, np.ndarray], y: np.ndarray, static: dict[str, float], metric: str = "spearman", short: int = 2_000, shrink: float = 0.65, stability: float = 1.0, previous: dict[str, float] | None = None, step: float = 0.3, low: float = 0.02, high: float = 0.18, whole: dict[str, float] | None = None) -> dict[str, float]:
     """Weights between the static ones and shares of relevance for y, the more so the surer the relevance is.
 
-    Relevance is the mean absolute value over all rows and over the last `short`. Weights stay within bounds and within
+    Relevance is the mean absolute value over all rows (`whole`, where x and y hold only the last ones) and over the last
+    `short`. Weights stay within bounds and within
     `step` of the previous ones and are then scaled to sum to 1, which may carry one over its bound."""
     f = RELEVANCE[metric]
-    rel = {k: (abs(f(v, y)) + abs(f(v[-short:], y[-short:]))) / 2 for k, v in x.items()}
+    rel = {k: (abs(f(v, y) if whole is None else whole.get(k, 0.0)) + abs(f(v[-short:], y[-short:]))) / 2 for k, v in x.items()}
     noise = 7.0 / math.sqrt(max(min(short, len(y)) - 1, 1))
     beta = shrink * min(1.0, float(np.mean(sorted(rel.values(), reverse=True)[:3])) / noise) * stability
     total = sum(rel.values()) + _EPS

@@ -208,19 +208,29 @@ def m07(spark, sf_dir):
     return priors(spark, sf_dir).withColumn("x", r6("x"))
 
 
+SHORT = 2_000  # bars of the short relevance: its window, not a cap
+
+
 @q("m05_adaptive_weights")
 def m05(spark, sf_dir):
     """Composite weights that follow each slot's relevance for the return of the next 12 bars."""
     cfg = S.SlotConfig()
     df = core(S.all_slots(bars(spark, sf_dir), cfg, 13).withColumn("y", F.lead("close", 12).over(along()) / F.col("close") - 1)).filter("y is not null")
     names = [f"slot_{i:02d}" for i in range(15)]
+    df = stored(df.select("symbol", IDX, "y", *names), "slots")
+    # Rank correlations over all bars, equal values ranked in order of time: the return is ranked once a symbol, all slots by one more sort.
+    ry = positions(df.select("symbol", IDX, "y"), "symbol", ["y", IDX], "ry").select("symbol", IDX, "ry")
+    long = df.select("symbol", IDX, F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), F.col(s).alias("x")) for s in names])).alias("_s")).select("symbol", IDX, "_s.slot", "_s.x")
+    rx = positions(long.withColumn("pair", F.concat_ws("|", "symbol", "slot")), "pair", ["x", IDX], "rx")
+    rel = rx.join(ry, ["symbol", IDX]).groupBy("symbol", "slot").agg(F.coalesce(W.corr(F.col("rx"), F.col("ry")), F.lit(0.0)).alias("r"))
+    rel = rel.groupBy("symbol").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("slot", "r")))).alias("whole"))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by(IDX)
-        w = cycles.adaptive_weights({s: t[s].to_numpy() for s in names}, t["y"].to_numpy(), cfg.weights)
+        w = cycles.adaptive_weights({s: t[s].to_numpy() for s in names}, t["y"].to_numpy(), cfg.weights, short=SHORT, whole=dict(t["whole"][0].as_py()))
         return pa.table({"symbol": [key[0].as_py()] * len(w), "slot": list(w), "weight": list(w.values())})
 
-    return latest(df.select("symbol", IDX, "y", *names), 5_000).groupBy("symbol").applyInArrow(run, "symbol string, slot string, weight double").withColumn("weight", r6("weight"))
+    return latest(df, SHORT).join(rel, "symbol").groupBy("symbol").applyInArrow(run, "symbol string, slot string, weight double").withColumn("weight", r6("weight"))
 
 
 @q("f08_hidden_regimes")
