@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 import pyarrow as pa
@@ -126,6 +127,37 @@ def listing(spark: SparkSession, source: str) -> DataFrame:
             return files
 
 
+def footer_bounds(spark: SparkSession, files: list[str], column: str) -> DataFrame | None:
+    """n, low, high: the rows of some Parquet files and the bounds of an instant column, read from footers alone.
+
+    One task reads a few footers each. None if a row group with values keeps no statistics of the column; bounds are
+    null where there are no values."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for uri in pdf["path"]:
+                fs, name = _fs(unquote(uri))
+                with fs.open_input_file(name) as f:
+                    meta = pq.ParquetFile(f).metadata
+                at = next(i for i in range(meta.num_columns) if meta.schema.column(i).path == column)
+                for g in range(meta.num_row_groups):
+                    own, seen = meta.row_group(g), meta.row_group(g).column(at).statistics
+                    empty = seen is not None and seen.has_null_count and seen.null_count == own.num_rows
+                    known = seen is not None and seen.has_min_max
+                    rows.append((own.num_rows, known or empty or not own.num_rows, seen.min if known else None, seen.max if known else None))
+            out = pd.DataFrame(rows, columns=["n", "known", "low", "high"])
+            for c in ("low", "high"):
+                out[c] = pd.to_datetime(out[c], utc=True)
+            yield out
+
+    paths = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, min(len(files), spark.sparkContext.defaultParallelism)))
+    seen = cut(paths.mapInPandas(look, "n long, known boolean, low timestamp, high timestamp"))
+    if not seen.filter("not known").isEmpty():
+        return None
+    return seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
 def compact(spark: SparkSession, source: str, target: str, size: int = TARGET) -> DataFrame:
     """Merges all Parquet files below source into files of about `size` bytes below target, directory by directory.
 

@@ -44,7 +44,7 @@ BARS = f"""bars as (
       row_number() over (partition by symbol, datetime order by received_at desc, bar_id desc) as rn
     from ohlcv where datetime is not null and symbol is not null and {_USABLE('"close"')}) t where rn = 1)"""
 
-INSTANT = """case when regexp_matches(trim("timestamp"), '^-?[0-9]{9,16}$') then make_timestamp(cast(trim("timestamp") as bigint) * 1000)
+INSTANT = """case when regexp_matches(trim("timestamp"), '^-?[0-9]{9,15}$') then make_timestamp(cast(trim("timestamp") as bigint) * 1000)
  when regexp_matches(trim("timestamp"), '[+-][0-9][0-9]:[0-9][0-9]$') then try_cast(substr(trim("timestamp"), 1, length(trim("timestamp")) - 6) as timestamp)
   - to_minutes(cast(substr(trim("timestamp"), length(trim("timestamp")) - 5, 1) || '1' as bigint) * (60 * cast(substr(trim("timestamp"), length(trim("timestamp")) - 4, 2) as bigint) + cast(substr(trim("timestamp"), length(trim("timestamp")) - 1, 2) as bigint)))
  else try_cast(replace(trim("timestamp"), 'Z', '') as timestamp) end"""

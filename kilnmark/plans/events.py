@@ -25,21 +25,23 @@ def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.tick_bars(table(spark, sf_dir, "events"), "event_type", "ts", "value", "event_id")
 
 
-@q("t02_tick_bars", f"""select symbol, epoch_us(hour) as ts_us, o as "open", h as "high", l as "low", c as "close", n as trades from (
+_TICK_BARS = """select symbol, epoch_us(hour) as ts_us, o as "open", h as "high", l as "low", c as "close", n as trades from (
  select event_type as symbol, date_trunc('hour', ts) as hour, max("value") as h, min("value") as l, count(*) as n,
   max(case when ka = 1 then "value" end) as o, max(case when kz = 1 then "value" end) as c from (
-   select *, row_number() over (partition by event_type, date_trunc('hour', ts) order by ts, event_id) as ka, row_number() over (partition by event_type, date_trunc('hour', ts) order by ts desc, event_id desc) as kz from events) t group by 1, 2) u""")
+   select *, row_number() over (partition by event_type, date_trunc('hour', ts) order by ts, event_id) as ka, row_number() over (partition by event_type, date_trunc('hour', ts) order by ts desc, event_id desc) as kz from events) t group by 1, 2) u"""
+
+
+@q("t02_tick_bars", _TICK_BARS)
 def t02(spark, sf_dir):
     return event_bars(spark, sf_dir).select("symbol", us("ts").alias("ts_us"), "open", "high", "low", "close", "trades")
 
 
-@q("t02_stream_bars", """select event_type as symbol, epoch_us(date_trunc('hour', ts)) as ts_us, max("value") as "high", min("value") as "low", count(*) as trades from events
- where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) - interval 10 minutes from events) group by 1, 2""")
+@q("t02_stream_bars", f"select * from ({_TICK_BARS}) b where ts_us + 3600000000 <= (select epoch_us(max(ts)) - 600000000 from events)")
 def t02s(spark, sf_dir):
     """The same bars from a stream, without the hours that the watermark hasn't passed."""
     ticks = flows.stream_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     got = flows.drained(flows.tick_bars(ticks, "event_type", "ts", "value", "event_id"), "stream-bars")
-    return got.select("symbol", us("ts").alias("ts_us"), "high", "low", "trades")
+    return got.select("symbol", us("ts").alias("ts_us"), "open", "high", "low", "close", "trades")
 
 
 @q("t01_stream_once", "select symbol, count(distinct datetime) as n from ohlcv where datetime is not null group by symbol")

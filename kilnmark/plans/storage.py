@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..operators import store
+from ..operators.compaction import footer_bounds
 from ..session import table, work_path
 from ..sources.klines import KlineSource
 from .common import Registry, bars, no_minus_zero, r6, sigs, sql, us
@@ -40,7 +41,12 @@ def s13(spark, sf_dir):
 
 @q("s15_bounds", "select count(*) as n, epoch_us(min(datetime)) as first_us, epoch_us(max(datetime)) as last_us from ohlcv")
 def s15(spark, sf_dir):
-    return table(spark, sf_dir, "ohlcv").agg(F.count("*").alias("n"), us(F.min("datetime")).alias("first_us"), us(F.max("datetime")).alias("last_us"))
+    """Row count and first and last instant from the files' footers; from the rows if a footer doesn't tell."""
+    t = table(spark, sf_dir, "ohlcv")
+    got = footer_bounds(spark, t.inputFiles(), "datetime")
+    if got is None:
+        return t.agg(F.count("*").alias("n"), us(F.min("datetime")).alias("first_us"), us(F.max("datetime")).alias("last_us"))
+    return got.select("n", us("low").alias("first_us"), us("high").alias("last_us"))
 
 
 @q("s16_projected_count", "select count(*) as n, count(\"timestamp\") as with_time from signatures")

@@ -157,3 +157,16 @@ def test_many_rows_left_out_meet_in_a_shuffle(spark, tmp_path, monkeypatch):
     s, f = signatures(spark)
     merged, doubles, stored = compaction.compact_signatures(s, f, f"{tmp_path}/out")
     assert stored.count() == s.count() - doubles.filter("sig_id <> keeper").count() and stored.select("sig_id").distinct().count() == stored.count()
+
+
+def test_bounds_from_footers(spark, tmp_path):
+    t = [datetime(2020, 1, d, tzinfo=timezone.utc) for d in (1, 2, 3, 4)]
+    pq.write_table(pa.table({"at": pa.array([t[1], t[3], None], pa.timestamp("us", "UTC"))}), f"{tmp_path}/a b.parquet")
+    pq.write_table(pa.table({"at": pa.array([None, t[0]], pa.timestamp("us", "UTC"))}), f"{tmp_path}/b.parquet")
+    pq.write_table(pa.table({"at": pa.array([None], pa.timestamp("us", "UTC"))}), f"{tmp_path}/c.parquet")
+    names = spark.read.parquet(str(tmp_path)).inputFiles()
+    got = compaction.footer_bounds(spark, names, "at").select("n", F.unix_seconds("low").alias("low"), F.unix_seconds("high").alias("high")).first()
+    assert tuple(got) == (6, int(t[0].timestamp()), int(t[3].timestamp()))
+    pq.write_table(pa.table({"at": pa.array([t[2]], pa.timestamp("us", "UTC"))}), f"{tmp_path}/d.parquet", write_statistics=False)
+    assert compaction.footer_bounds(spark, [*names, f"file:{tmp_path}/d.parquet"], "at") is None
+    assert compaction.footer_bounds(spark, [], "at").first()["n"] == 0
